@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pairloom.llm.components import link_groups
 from pairloom.llm.distinctive import concentrated_terms, term_weights
 from pairloom.llm.fusion import fuse_ranks, top_share
+from pairloom.llm.leakage import leaks
+from pairloom.llm.packing import pack
+from pairloom.llm.products import product_groups, product_pairs
+from pairloom.llm.residue import residue, without_residue
 from pairloom.llm.splits import assign_splits, tied_groups
 from pairloom.sources.tables import table
 
 IDS = ("variantid_1", "variantid_2")
 TEXTS = ["name_1", "description_1", "concat_keyval_1"]
+PRODUCT = ("name_1", "description_1", "characteristic_attributes_mapping_1")
 SCORES = ["userbge_cossim", "fasttext", "rubert_base_trained"]
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -35,6 +40,16 @@ def p3_splits(spark, d):
     return assign_splits(rows, "group_id", "is_double", *IDS, SHARES).select(*IDS, "group_id", "is_double", "split")
 
 
+def p4_found(spark, d):
+    pairs = product_pairs(product_groups(table(spark, d, "train_df"), "variantid_1", *PRODUCT))
+    return pairs.select(F.col("a").alias("variantid_a"), F.col("b").alias("variantid_b"))
+
+
+def p4_products(spark, d):
+    """One row per listing: the scalable form of the grouping."""
+    return product_groups(table(spark, d, "train_df"), "variantid_1", *PRODUCT).select(F.col("id").alias("variantid_1"), "product")
+
+
 def p5_found(spark, d):
     found = link_groups(table(spark, d, "train_df").where("is_double = 1").select(*IDS), *IDS)
     return found.select(F.col("id").alias("variantid"), "group_key")
@@ -48,7 +63,25 @@ def p6_ranking(spark, d):
     return fuse_ranks(table(spark, d, "test_df"), *IDS, SCORES).select(F.col("a").alias("variantid_a"), F.col("b").alias("variantid_b"), "n_usable", F.round("fused", 6).alias("fused"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_weights, p3_found, p3_splits, p5_found, p6_found, p6_ranking)}
+def p8_pack(spark, d):
+    return pack(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark, d):
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark, d):
+    return residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_clean(spark, d):
+    """The corpus without the documents of ``p10_found``."""
+    return without_residue(table(spark, d, "documents")).select("doc_id", "lang", "source", "text")
+
+
+_ALL = (p1_found, p1_weights, p3_found, p3_splits, p4_found, p4_products, p5_found, p6_found, p6_ranking, p8_pack, p9_found, p10_found, p10_clean)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _TERMS = """
     r AS (SELECT variantid_1, min(concat_ws(' ', coalesce(name_1, ''), coalesce(description_1, ''), coalesce(concat_keyval_1, ''))) AS t

@@ -87,7 +87,6 @@ def _plan(heavy: list[tuple], cells: list[tuple], n_all: int, p_all: int, shares
         placed[unit] = k
         missing[k][0] -= n
         missing[k][1] -= p
-    rest_n = max(sum(c[2] for c in cells), 1)
     want = {k: max(m[0], 0.0) for k, m in missing.items()}
     scale = sum(want.values()) or 1.0
     part = {k: w / scale for k, w in want.items()}
@@ -107,5 +106,4 @@ def _plan(heavy: list[tuple], cells: list[tuple], n_all: int, p_all: int, shares
             got[order[i]] += n
         for k in shares:
             carry[k] = goal[k] - got[k]
-    assert rest_n
     return placed, cuts

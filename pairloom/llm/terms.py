@@ -113,7 +113,8 @@ def codes(text: str) -> list[tuple[str, str]]:
     out = []
     for letters, digits, gap, tail in _CODE.findall(text):
         a, s = letters.translate(_TO_LATIN), tail.translate(_TO_LATIN)
-        if a in _UNIT or s not in SUFFIXES and s and not gap:
+        # two Cyrillic letters before a number are a preposition, not a code
+        if len(letters) == 2 and not _LAT.search(letters) or a in _UNIT or s not in SUFFIXES and s and not gap:
             continue
         out.append((a + digits, s if s in SUFFIXES else ""))
     return out
