@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pairloom.plans import core
+from pairloom.plans import attributes, core, features, models, scans, texts
 
-_PARTS = (core,)
+
+def _parts():
+    yield core.QUERIES, core.SQL
+    for module in (scans, texts, attributes, features, models):
+        yield module.R.queries, module.R.sql
 
 
 def queries() -> dict:
-    return {k: q for part in _PARTS for k, q in part.QUERIES.items()}
+    return {k: q for found, _ in _parts() for k, q in found.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: s for part in _PARTS for k, s in part.SQL.items()}
+    return {k: s for _, found in _parts() for k, s in found.items()}
 
 
 def flagship(spark, sf_dir):
