@@ -109,6 +109,24 @@ def verdict(template: list[str]) -> str | None:
     return "request" if m and CONTENT_WORDS.issuperset(m[1].split()) else None
 
 
+# what messages that the grammar accepts can begin with, after a masked number or without one
+_AFTER_NUMBER = frozenset(e.split()[0] for e in ERRORS)
+_FIRST = _AFTER_NUMBER | frozenset(STATUS + EXCLAIM + ["todo"]) | frozenset(p.split()[0] for p in SCRIPT_SUBJECTS + SCRIPT_NOTICES + CHALLENGES + REQUESTS)
+
+
+def may_match(tokens: list[str]) -> bool:
+    """Whether any rule of ``verdict`` accepts messages that begin like this one.
+
+    The first words are the same for all messages of a leaf, so a leaf is
+    wholly kept or wholly left out, and no verdict changes.
+    """
+    if not tokens or len(tokens) > LONGEST:
+        return False
+    if tokens[0] == MASK:
+        return len(tokens) > 1 and tokens[1] in _AFTER_NUMBER
+    return tokens[0] in _FIRST
+
+
 def has_slot(message: str) -> bool:
     """Whether the message holds an unfilled slot and does not speak of slots itself."""
     for m in _SLOT.finditer(message):
@@ -151,11 +169,13 @@ def own_residue(text: str) -> str | None:
     return "null" if len(_NULLISH.findall(text)) >= 3 and prints_null(text) and len(words) < 40 else None
 
 
-def templates(docs: DataFrame, text: str) -> DataFrame:
+def templates(docs: DataFrame, text: str, judged_only: bool = False) -> DataFrame:
     """``(leaf, n_messages, template)`` of every leaf of the corpus.
 
     Tasks count words per leaf and place before anything is shuffled.
+    ``judged_only`` leaves out leaves that no rule could accept (``may_match``).
     """
+    wanted = may_match if judged_only else (lambda t: bool(t) and len(t) <= LONGEST)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -163,7 +183,7 @@ def templates(docs: DataFrame, text: str) -> DataFrame:
             for t in b.column(0).to_pylist():
                 for m in messages(t):
                     tokens = masked(m)
-                    if tokens and len(tokens) <= LONGEST:
+                    if wanted(tokens):
                         key = leaf(tokens)
                         seen[key, -1, ""] += 1
                         for p in range(DEPTH, len(tokens)):
@@ -205,7 +225,7 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             rows = [(k, v) for k, v in zip(keys[0], kinds) if v]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["leaf", "kind"])
 
-    bad = templates(docs, text).select("leaf", "template").mapInArrow(judge, "leaf string, kind string")
+    bad = templates(docs, text, judged_only=True).select("leaf", "template").mapInArrow(judge, "leaf string, kind string")
     ids = F.col(doc_id).cast("long").alias("doc_id")
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +235,7 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 own = own_residue(t)
                 if own:
                     out_id.append(i), out_leaf.append(None), out_kind.append(own)
-                for key in {leaf(k) for m in messages(t) if (k := masked(m)) and len(k) <= LONGEST}:
+                for key in {leaf(k) for m in messages(t) if may_match(k := masked(m))}:
                     out_id.append(i), out_leaf.append(key), out_kind.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_leaf, pa.string()), pa.array(out_kind, pa.string())], ["doc_id", "leaf", "own"])
 
