@@ -227,8 +227,9 @@ def lexicon_match(spark, d):
     for name, col in (("brands", "brand"), ("colors", "word_0")):
         # word lists are fixed tables of a few hundred rows
         words = _lexicon(spark, d, name, col).agg(F.array_sort(F.collect_set("w")).alias("l")).scalar()
-        found.append(F.array_join(F.array_sort(F.array_intersect(F.array_distinct(T.split_blank(F.lower(F.coalesce(C("name_1"), F.lit(""))))), words)), " ").alias(name))
-    return pairs(spark, d).select(*IDS, *found)
+        found.append(words.alias(f"l_{name}"))
+    df = pairs(spark, d).select(*IDS, F.array_distinct(T.split_blank(F.lower(F.coalesce(C("name_1"), F.lit(""))))).alias("w"), *found)
+    return df.select(*IDS, *[F.array_join(F.sort_array(F.array_intersect("w", f"l_{n}")), " ").alias(n) for n in ("brands", "colors")])
 
 
 @R.add(
