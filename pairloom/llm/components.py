@@ -15,6 +15,7 @@ Nothing but single counts and the one start vertex comes to the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,15 +76,22 @@ def propagate_minimum(adj: DataFrame, scratch: Scratch, jumps: int = 2) -> DataF
 
 
 def breadth_first(adj: DataFrame, start: DataFrame, scratch: Scratch, max_rounds: int) -> tuple[DataFrame, bool]:
-    """``(id)`` of all vertices reached from ``start`` within ``max_rounds``, and whether that is all of them."""
-    seen, frontier = start, start
+    """``(id)`` of all vertices reached from ``start`` within ``max_rounds``, and whether that is all of them.
+
+    Links go both ways, so a frontier's neighbours lie in itself, the frontier
+    before or the next one: a round compares with those two alone, however many
+    vertices have been reached.
+    """
+    levels = [start]
     for _ in range(max_rounds):
-        step = adj.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
-        new = scratch.save(step.join(seen, "id", "left_anti"))
+        step = adj.join(levels[-1].withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
+        for old in levels[-2:]:
+            step = step.join(old, "id", "left_anti")
+        new = scratch.save(step)
         if new.isEmpty():
-            return seen, True
-        seen, frontier = seen.unionByName(new), new
-    return seen, False
+            return reduce(DataFrame.unionByName, levels), True
+        levels.append(new)
+    return reduce(DataFrame.unionByName, levels), False
 
 
 def peeled_components(adj: DataFrame, scratch: Scratch, max_rounds: int = 30) -> DataFrame:
@@ -100,7 +108,7 @@ def peeled_components(adj: DataFrame, scratch: Scratch, max_rounds: int = 30) ->
     seen, whole = breadth_first(adj, start, scratch, max_rounds)
     seen = scratch.save(seen)
     if whole:
-        # no edge leaves a whole component
+        # no link leaves a whole component
         rest = adj.join(seen.withColumnRenamed("id", "src"), "src", "left_anti")
         least = seen.agg(F.min("id").alias("m")).scalar()
         giant = seen.select("id", least.alias("label"))
@@ -150,13 +158,16 @@ def frontier_components(adj: DataFrame, scratch: Scratch, small_edges: int = 200
     mine, other = F.struct(F.xxhash64("src"), F.col("src")), F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("v"))
     low = adj.groupBy("src").agg(F.min(other).alias("m"))
     seeds = scratch.save(low.where(mine < F.col("m")).select(F.col("src").alias("id"), F.col("src").alias("label")))
-    labelled, frontier = seeds, seeds
+    levels = [seeds]
     while True:
-        reach = adj.join(frontier.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
-        new = scratch.save(reach.join(labelled, "id", "left_anti"))
+        reach = adj.join(levels[-1].withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
+        for old in levels[-2:]:  # as in ``breadth_first``
+            reach = reach.join(old, "id", "left_anti")
+        new = scratch.save(reach)
         if new.isEmpty():
             break
-        labelled, frontier = labelled.unionByName(new), new
+        levels.append(new)
+    labelled = reduce(DataFrame.unionByName, levels)
     labelled = scratch.save(labelled)
     s, d = labelled.select(F.col("id").alias("src"), F.col("label").alias("s")), labelled.select(F.col("id").alias("dst"), F.col("label").alias("d"))
     met = scratch.save(adj.where("src < dst").join(s, "src").join(d, "dst").where("s <> d").select(F.least("s", "d").alias("u"), F.greatest("s", "d").alias("v")).distinct())
