@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pairloom.plans import attributes, core, features, models, scans, texts
+from pairloom.plans import attributes, core, features, flagship as top, models, scans, table, texts
 
 
 def _parts():
     yield core.QUERIES, core.SQL
-    for module in (scans, texts, attributes, features, models):
+    for module in (top, scans, texts, attributes, features, models, table):
         yield module.R.queries, module.R.sql
 
 
@@ -20,4 +20,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return core.p2_stats(spark, sf_dir)
+    return top.likely_duplicates(spark, sf_dir)
