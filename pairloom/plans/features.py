@@ -25,6 +25,12 @@ def _s_intersect(a, b):
     return f"list_distinct(list_filter({a}, lambda e: list_contains({b}, e)))"
 
 
+def spread(spark, d, *cols):
+    """The named columns in as many partitions as shuffles have: few bytes, but much work a row."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pairs(spark, d).select(*IDS, *cols).repartition(n, *IDS)
+
+
 # numbers
 
 
@@ -139,7 +145,7 @@ _NGRAMS = range(1, 8)
 @R.add(_sql(", ".join(f"coalesce(round(len({_s_intersect('g1', 'g2')})::DOUBLE / nullif(len(list_distinct(list_concat(g1, g2))), 0), 6), 0) AS name_iou_{n}".replace("g1", _s_grams("name_1", n)).replace("g2", _s_grams("name_2", n)) for n in _NGRAMS)))
 def ngram_iou(spark, d):
     """Character n-gram overlap of the names for n = 1..7."""
-    return pairs(spark, d).select(*IDS, *[r6(S.ngram_iou(T.char_ngrams("name_1", n), T.char_ngrams("name_2", n))).alias(f"name_iou_{n}") for n in _NGRAMS])
+    return spread(spark, d, "name_1", "name_2").select(*IDS, *[r6(S.ngram_iou(T.char_ngrams("name_1", n), T.char_ngrams("name_2", n))).alias(f"name_iou_{n}") for n in _NGRAMS])
 
 
 # strings
@@ -162,32 +168,32 @@ _SH = _s_shared("name_1", "name_2")
 def char_multiset_sim(spark, d):
     """Dice (the same as Sørensen) and Tanimoto of the names' characters."""
     a, b = C("name_1"), C("name_2")
-    return pairs(spark, d).select(*IDS, r6(S.dice(a, b)).alias("dice"), r6(S.tanimoto(a, b)).alias("tanimoto"))
+    return spread(spark, d, "name_1", "name_2").select(*IDS, r6(S.dice(a, b)).alias("dice"), r6(S.tanimoto(a, b)).alias("tanimoto"))
 
 
 @R.add(_sql(f"round(jaro_winkler_similarity({s_latin('name_1')}, {s_latin('name_2')}), 6) AS jaro_winkler"))
 def string_sim_core(spark, d):
     """Jaro-Winkler of the names' Latin words."""
     a, b = T.extract_latin("name_1"), T.extract_latin("name_2")
-    return pairs(spark, d).select(*IDS, r6(E.jaro_winkler_udf(a, b)).alias("jaro_winkler"))
+    return spread(spark, d, "name_1", "name_2").select(*IDS, r6(E.jaro_winkler_udf(a, b)).alias("jaro_winkler"))
 
 
 @R.add()
 def token_ratios(spark, d):
     """Token-sort, token-set and weighted ratios of the names (fixtures and brute force test them)."""
     a, b = C("name_1"), C("name_2")
-    return pairs(spark, d).select(*IDS, E.token_sort_udf(a, b).alias("token_sort"), E.token_set_udf(a, b).alias("token_set"))
+    return spread(spark, d, "name_1", "name_2").select(*IDS, E.token_sort_udf(a, b).alias("token_sort"), E.token_set_udf(a, b).alias("token_set"))
 
 
 @R.add()
 def wratio(spark, d):
-    return pairs(spark, d).select(*IDS, E.weighted_udf(C("name_1"), C("name_2")).alias("wratio"))
+    return spread(spark, d, "name_1", "name_2").select(*IDS, E.weighted_udf(C("name_1"), C("name_2")).alias("wratio"))
 
 
 @R.add(_sql(f"damerau_levenshtein({s_latin('name_1')}, {s_latin('name_2')})::DOUBLE AS distance"))
 def edit_distance(spark, d):
     """Damerau-Levenshtein distance of the names' Latin words."""
-    return pairs(spark, d).select(*IDS, E.damerau_levenshtein_udf(T.extract_latin("name_1"), T.extract_latin("name_2")).alias("distance"))
+    return spread(spark, d, "name_1", "name_2").select(*IDS, E.damerau_levenshtein_udf(T.extract_latin("name_1"), T.extract_latin("name_2")).alias("distance"))
 
 
 def _s_lcp(a, b):
@@ -197,14 +203,14 @@ def _s_lcp(a, b):
 
 @R.add(_sql(f"{_s_lcp(s_norm('name_1'), s_norm('name_2'))} AS prefix"))
 def common_prefix(spark, d):
-    return pairs(spark, d).select(*IDS, r6(S.common_prefix(T.normalize_underscore("name_1"), T.normalize_underscore("name_2"))).alias("prefix"))
+    return spread(spark, d, "name_1", "name_2").select(*IDS, r6(S.common_prefix(T.normalize_underscore("name_1"), T.normalize_underscore("name_2"))).alias("prefix"))
 
 
 @R.add()
 def lcp_lcs(spark, d):
     """Common prefix and common subsequence of the underscored names."""
     a, b = T.normalize_underscore("name_1"), T.normalize_underscore("name_2")
-    return pairs(spark, d).select(*IDS, r6(S.common_prefix(a, b)).alias("prefix"), r6(E.lcs_share_udf(a, b)).alias("subsequence"))
+    return spread(spark, d, "name_1", "name_2").select(*IDS, r6(S.common_prefix(a, b)).alias("prefix"), r6(E.lcs_share_udf(a, b)).alias("subsequence"))
 
 
 # lexicons and units
@@ -282,7 +288,7 @@ def _bm25_query(doc_name, tokens, s_tokens):
 
     def run(spark, d):
         t1, t2 = tokens(1), tokens(2)
-        df = pairs(spark, d).select(*IDS, t1.alias("t1"), t2.alias("t2"))
+        df = spread(spark, d, "name_1", "name_2", "description_1", "description_2", "concat_keyval_1", "concat_keyval_2").select(*IDS, t1.alias("t1"), t2.alias("t2"))
         return df.select(*IDS, r6(Q.bm25_single(C("t1"), C("t2"))).alias("bm25_left"), r6(Q.bm25_single(C("t2"), C("t1"))).alias("bm25_right"))
 
     run.__name__ = doc_name
@@ -345,7 +351,7 @@ def _s_f(a, b):
 )
 def rouge_n(spark, d):
     """ROUGE-1 to ROUGE-4 F-scores of the names."""
-    df = pairs(spark, d).select(*IDS, *[T.words(F.lower(F.coalesce(f"name_{k}", F.lit("")))).alias(f"t{k}") for k in (1, 2)])
+    df = spread(spark, d, "name_1", "name_2").select(*IDS, *[T.words(F.lower(F.coalesce(f"name_{k}", F.lit("")))).alias(f"t{k}") for k in (1, 2)])
     df = df.select(*IDS, *[Q.token_ngrams(C(f"t{k}"), n).alias(f"g{n}{k}") for n in (1, 2, 3, 4) for k in (1, 2)])
     return df.select(*IDS, *[r6(Q.multiset_f(C(f"g{n}1"), C(f"g{n}2"))).alias(f"rouge_{n}") for n in (1, 2, 3, 4)])
 
@@ -359,5 +365,5 @@ def rouge_skip(spark, d):
         pairs_ = F.flatten(F.transform(at, lambda i: F.transform(F.slice(t, i + 2, F.lit(5)), lambda w: F.concat(F.get(t, i), F.lit(" "), w))))
         return F.when(F.size(t) > 0, F.concat(pairs_, t) if single else pairs_).otherwise(F.array().cast("array<string>"))
 
-    df = pairs(spark, d).select(*IDS, *[T.words(F.lower(F.coalesce(f"name_{k}", F.lit("")))).alias(f"t{k}") for k in (1, 2)])
+    df = spread(spark, d, "name_1", "name_2").select(*IDS, *[T.words(F.lower(F.coalesce(f"name_{k}", F.lit("")))).alias(f"t{k}") for k in (1, 2)])
     return df.select(*IDS, *[r6(Q.multiset_f(skips(C("t1"), u), skips(C("t2"), u))).alias(n) for n, u in (("rouge_s4", False), ("rouge_su4", True))])
