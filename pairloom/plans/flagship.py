@@ -36,6 +36,8 @@ def likely_duplicates(spark, d):
     category that holds most pairs sends ten rows per task.
     """
     p = pairs(spark, d).where("variantid_1 <> variantid_2").select(*IDS, "unique_cat_1", "name_1", "name_2", "concat_keyval_1", "concat_keyval_2").distinct()
+    # much work a row: not to be coalesced by size
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *IDS)
     names = S.jaccard(F.array_distinct(_toks("name_1")), F.array_distinct(_toks("name_2")))
     grams = S.ngram_iou(T.char_ngrams("name_1", 3), T.char_ngrams("name_2", 3))
     score = r6(names * 0.4 + grams * 0.3 + S.jaccard(_kv("concat_keyval_1"), _kv("concat_keyval_2")) * 0.3)
