@@ -39,21 +39,43 @@ _FLAT = "(j NOT LIKE '%{%{%' AND j NOT LIKE '%[%' AND json_valid(j) AND json_typ
         coalesce(nullif(json_extract_string(j, '$."' || k || '"'), 'null'), 'None'))), '|') AS entries FROM i"""
 )
 def flatten_attrs(spark, d):
-    """Flat objects' entries, sorted; nested ones are covered by ``p7_found`` and by fixtures."""
-    js = pairs(spark, d).select(F.explode(F.array(f"{JS}_1", f"{JS}_2")).alias("j")).distinct()
-    flat = js.where(~F.col("j").like("%{%{%") & ~F.col("j").like("%[%"))
-    e = flat.select("j", A.flat_entries("j").alias("e")).where("e IS NOT NULL")
+    """Flat objects' entries, sorted: the part that SQL can follow of ``flatten_attrs_whole``."""
+    return _sorted_entries(_texts(spark, d).where(_is_flat(F.col("j")))).where("entries IS NOT NULL")
+
+
+@R.add()
+def flatten_attrs_whole(spark, d):
+    """Entries of every distinct text, nested objects and arrays flattened; null where it is no object."""
+    return _sorted_entries(_texts(spark, d))
+
+
+def _is_flat(j):
+    return ~j.like("%{%{%") & ~j.like("%[%")
+
+
+def _texts(spark, d):
+    return pairs(spark, d).select(F.explode(F.array(f"{JS}_1", f"{JS}_2")).alias("j")).distinct()
+
+
+def _sorted_entries(js):
+    e = js.select("j", A.flat_entries("j").alias("e"))
     return e.select(F.col("j").alias("attributes"), F.array_join(F.array_sort(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "|").alias("entries"))
 
 
 @R.add(f"SELECT variantid_1, variantid_2, concat_keyval_1 AS keyval FROM train_df WHERE {_FLAT.replace('j ', JS + '_1 ').replace('(j)', '(' + JS + '_1)')} AND concat_keyval_1 <> ''")
 def concat_keyval(spark, d):
-    """Flattened attributes rebuilt from their JSON equal the table's own column."""
-    df = pairs(spark, d)
-    j = F.col(f"{JS}_1")
-    flat = df.where(~j.like("%{%{%") & ~j.like("%[%"))
-    out = flat.select(*IDS, A.concat_keyval(A.flat_entries(j)).alias("keyval"))
-    return out.where("keyval <> ''")
+    """Flattened attributes rebuilt from their JSON equal the table's own column: the part that SQL can follow."""
+    return _keyvals(pairs(spark, d).where(_is_flat(F.col(f"{JS}_1")))).where("keyval <> ''")
+
+
+@R.add()
+def concat_keyval_whole(spark, d):
+    """``key=value`` text of every pair's first attributes; empty without entries, null where they are no object."""
+    return _keyvals(pairs(spark, d))
+
+
+def _keyvals(df):
+    return df.select(*IDS, A.concat_keyval(A.flat_entries(f"{JS}_1")).alias("keyval"))
 
 
 def _s_map(k):
@@ -101,12 +123,24 @@ _KV = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lamb
     ))::DOUBLE / len(ks), 6) END AS attrs_equal FROM k WHERE {_FLAT.replace('j ', 'a::VARCHAR ').replace('(j)', '(a::VARCHAR)')} AND {_FLAT.replace('j ', 'b::VARCHAR ').replace('(j)', '(b::VARCHAR)')}"""
 )
 def attrs_fully_eq(spark, d):
-    """Share of common keys with equal values (as character sets), for flat objects on both sides."""
+    """Share of common keys with equal values (as character sets), for flat objects on both sides: the part that SQL can follow."""
     df = pairs(spark, d)
     for k in (1, 2):
-        j = F.col(f"{JS}_{k}")
-        df = df.where(~j.like("%{%{%") & ~j.like("%[%"))
-    m = df.select(*IDS, *[F.map_from_entries(A.flat_entries(f"{JS}_{k}")).alias(f"m{k}") for k in (1, 2)]).where("m1 IS NOT NULL AND m2 IS NOT NULL")
+        df = df.where(_is_flat(F.col(f"{JS}_{k}")))
+    return _equal_shares(_maps(df).where("m1 IS NOT NULL AND m2 IS NOT NULL"))
+
+
+@R.add()
+def attrs_fully_eq_whole(spark, d):
+    """The same for every pair, over flattened members; null without common keys or where a side is no object."""
+    return _equal_shares(_maps(pairs(spark, d)))
+
+
+def _maps(df):
+    return df.select(*IDS, *[F.map_from_entries(A.flat_entries(f"{JS}_{k}")).alias(f"m{k}") for k in (1, 2)])
+
+
+def _equal_shares(m):
     return m.select(*IDS, r6(A.fully_equal_share(F.col("m1"), F.col("m2"))).alias("attrs_equal"))
 
 
