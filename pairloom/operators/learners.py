@@ -13,9 +13,11 @@ def out_of_fold(df: DataFrame, folds: DataFrame, group: str, features: int = 1 <
     """``df`` with ``fold`` and ``score``: each row by a logistic model of the other folds.
 
     ``tokens`` (array of strings) are the features, hashed; ``is_double`` the
-    label. All labelled rows train. Rows whose group has no fold are dropped.
+    label. All labelled rows train; null groups match the fold of the null
+    group. Rows whose group has no fold are dropped.
     """
-    rows = df.join(folds, group).withColumn("label", F.col("is_double").cast("double"))
+    folds = folds.withColumnRenamed(group, "__group")
+    rows = df.join(folds, F.col(group).eqNullSafe(F.col("__group"))).drop("__group").withColumn("label", F.col("is_double").cast("double"))
     rows = HashingTF(inputCol="tokens", outputCol="features", numFeatures=features).transform(rows)
     n = folds.agg(F.max("fold")).first()[0]
     out = None

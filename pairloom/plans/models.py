@@ -67,9 +67,17 @@ def prob_histogram(spark, d):
     return oof(spark, d).where("score IS NOT NULL").groupBy(F.floor(F.least(C("score"), F.lit(0.999999)) * 20).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def labelled(spark, d):
+    """All labelled pairs with ``unit``: the group, or without one (null or -1) the two records in any order, as in ``p3_splits``."""
+    pair = F.concat_ws("|", F.lit("pair"), F.least(*IDS), F.greatest(*IDS))
+    unit = F.when(C("group_id") != -1, F.concat(F.lit("g"), C("group_id").cast("string"))).otherwise(pair)
+    return pairs(spark, d).where("is_double IN (0, 1)").withColumn("unit", unit)
+
+
 def _folds(spark, d, stratified):
-    df = pairs(spark, d).where("is_double IN (0, 1) AND group_id IS NOT NULL AND group_id <> -1")
-    return group_folds(df, "group_id", "is_double", 5, stratified)
+    """One row per unit; ``group_id`` is null where the unit is a pair without group."""
+    group = F.when(C("unit").startswith("g"), F.substring("unit", 2, 20).cast("long"))
+    return group_folds(labelled(spark, d), "unit", "is_double", 5, stratified).select(group.alias("group_id"), "unit", "fold")
 
 
 @R.add()
@@ -227,11 +235,11 @@ def homoglyph_fix(spark, d):
 
 @R.add()
 def bow_classifier(spark, d):
-    """Out-of-fold scores of a hashed bag-of-words classifier, each row by the model that did not see its group."""
+    """Out-of-fold scores of a hashed bag-of-words classifier, each labelled row by the model that did not see its group (or pair, where it has none)."""
     from pairloom.operators.learners import out_of_fold
 
-    df = pairs(spark, d).where("is_double IN (0, 1) AND group_id IS NOT NULL").select(*IDS, "group_id", "is_double", F.array_union(T.words(F.lower("name_1")), F.transform(T.words(F.lower("name_2")), F.upper)).alias("tokens"))
-    return out_of_fold(df, group_folds(df, "group_id", "is_double", 3), "group_id").select(*IDS, "fold", "is_double", "score")
+    df = labelled(spark, d).select(*IDS, "unit", "is_double", F.array_union(T.words(F.lower("name_1")), F.transform(T.words(F.lower("name_2")), F.upper)).alias("tokens"))
+    return out_of_fold(df, group_folds(df, "unit", "is_double", 3), "unit").select(*IDS, "fold", "is_double", "score")
 
 
 @R.add()
@@ -243,5 +251,5 @@ def per_category_model(spark, d):
     one = F.array_except(F.array_union(T.words(F.lower("name_1")), T.words(F.lower("name_2"))), shared)
     marks = F.concat(F.transform(shared, lambda w: F.lit("same")), F.transform(one, lambda w: F.when(w.rlike("[0-9]"), "other number").otherwise("other word")))
     crossed = F.concat(marks, F.transform(marks, lambda m: F.concat(C("unique_cat_1"), F.lit("|"), m)))
-    df = pairs(spark, d).where("is_double IN (0, 1) AND group_id IS NOT NULL").select(*IDS, "group_id", "unique_cat_1", "is_double", crossed.alias("tokens"))
-    return out_of_fold(df, group_folds(df, "group_id", "is_double", 3), "group_id").select(*IDS, "unique_cat_1", "fold", "is_double", "score")
+    df = labelled(spark, d).select(*IDS, "unit", "unique_cat_1", "is_double", crossed.alias("tokens"))
+    return out_of_fold(df, group_folds(df, "unit", "is_double", 3), "unit").select(*IDS, "unique_cat_1", "fold", "is_double", "score")
