@@ -1,7 +1,7 @@
 """Tables that cut lineage, in a folder that every executor can read.
 
-The folder is the one the session names in ``spark.checkpoint.dir``; only where
-that is unset (local tests) is a temporary folder chosen and set.
+The folder is the one the session names in ``spark.checkpoint.dir``; only on a
+local master, where one machine is all there is, may it be left unset.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set once to a temporary one where unset."""
+    """The session's checkpoint folder; on a local master set once to a temporary one where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="pairloom-")
     sc.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
@@ -44,10 +46,10 @@ class Scratch:
         self._paths: dict[int, str] = {}
         atexit.register(self.clear)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        df.write.mode("overwrite").option("compression", "lz4").parquet(path)
+        df.write.mode("overwrite").option("compression", "lz4").partitionBy(*partition_by or []).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._pairloom_path = path
