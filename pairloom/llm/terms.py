@@ -53,6 +53,7 @@ _CODE = re.compile(rf"(?<![^\W_])([{_L}]{{2,5}})[ \-]?(\d{{1,5}})(?:([ \-]?)([{_
 _TO_LATIN = str.maketrans(LOOKALIKE)
 _WORD = re.compile(r"[^\W_]+")
 _CYR, _LAT = re.compile("[а-я]"), re.compile("[a-z]")
+_MIXED = re.compile(r"[а-я][^\W_a-zа-я]*[a-z]|[a-z][^\W_a-zа-я]*[а-я]")
 
 
 def plain(text: str | None) -> str:
@@ -76,7 +77,8 @@ def one_script(word: str) -> str:
 
 
 def fold_scripts(text: str) -> str:
-    return _WORD.sub(lambda m: one_script(m[0]), text)
+    """Each word of a lower-case text in one script (``one_script``)."""
+    return _WORD.sub(lambda m: one_script(m[0]), text) if _MIXED.search(text) else text
 
 
 def latin(word: str) -> str:

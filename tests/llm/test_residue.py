@@ -39,15 +39,50 @@ def test_rest_of_the_corpus(spark):
 
 
 def test_templates_of_a_corpus(spark):
-    """Leaves of the prefix tree: numbers masked, the majority word at each further place."""
+    """Leaves of the prefix tree: numbers masked, at each further place the word that all messages share."""
     texts = [f"Заряда или топлива хватает на {i} часов, проверяли {w} снова" for i, w in enumerate(["дома", "дома", "дома", "весной"])]
-    rows = R.templates(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
-    assert [(r["n_messages"], r["template"]) for r in rows] == [(4, "заряда или топлива хватает на <*> часов проверяли дома снова".split())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = R.templates(R.scan(df, "doc_id", "text", everything=True)).collect()
+    assert [(r["n_messages"], r["template"]) for r in rows] == [(4, "заряда или топлива хватает на <*> часов проверяли <*> снова".split())]
 
 
 def test_pruning_never_loses_a_verdict():
     for texts in BAD.values():
         for t in texts:
             for m in R.messages(t):
-                k = R.masked(m)
-                assert R.may_match(k) or R.verdict(k) is None
+                code, k = R.coded(m, R.masked(m))
+                assert code or R.may_match(k) or R.verdict(k) is None
+
+
+def test_unknown_message_is_learnt_from_its_status_codes(spark):
+    """A template that stands behind two different status codes is an error message wherever it stands."""
+    docs = ["Ошибка 503: кот перегрыз провод", "Сбой 404: кот перегрыз провод", "кот перегрыз провод", "Кот перегрыз провод, продаю дёшево", "Ошибка 404: пёс съел кость", "пёс съел кость"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r["doc_id"] for r in R.residue(df).collect()} == {0, 1, 2, 4}
+
+
+@pytest.mark.parametrize("slot", "{{x_1}} {{{name}}} {%price%} <%=a.b%> [[город]] <<title>> ${sum} #{sum} @@DATE@@ %%qty%% __CITY__ ##имя## @{name} <model>".split())
+def test_slots_by_form(slot):
+    assert R.has_slot(f"Цена {slot}, торг") and R.has_slot(slot)
+    assert not R.has_slot(f"Продаю шаблоны писем, поле {slot} меняется")
+
+
+@pytest.mark.parametrize("text", ["<b>Стол</b>", "#sale #new", "скидка 5% на всё, 10% на два", "**новый** товар", "a < b и c > d", "C# и F# книги", "mail@x.ru и y@z.ru", "«{ и }»", "R&D и Q&A", "5 > x < 7"])
+def test_signs_as_content(text):
+    assert not any(map(R.has_slot, R.messages(text)))
+
+
+def test_filler_of_any_vocabulary(spark):
+    """Words recombined evenly are filler, and so is a short piece of the same words; sentence forms are not."""
+    import random
+
+    rng = random.Random(3)
+    words = "бурлак тирмон зелвик совдур маркуш пентол грумиз хоранд видлус ремтап".split()
+    say = lambda n: (" ".join(rng.choice(words) for _ in range(n)) + ".").capitalize()
+    full = [" ".join(say(rng.randint(6, 10)) for _ in range(3)) for _ in range(6)]
+    piece = "Продаю стол, торг уместен. " + " ".join(words[:5]).capitalize() + ". Звоните до шести."
+    forms = ". ".join(f"Если {a} покажется слишком {b}, можно поставить другой" for a, b in zip("экран рычаг клапан корпус кулер".split(), "тихий плотный гладкий узкий яркий".split()))
+    colours = ". ".join(f"Цвет {a}, {b} тоже {c}" for a, b, c in (("синий", "насос", "белый"), ("белый", "провод", "синий"), ("чёрный", "корпус", "белый"), ("синий", "замок", "чёрный")))
+    docs = [*full, piece, forms, colours, "Стол письменный дубовый крепкий светлый"]
+    got = {r["doc_id"] for r in R.residue(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == set(range(7))
