@@ -22,3 +22,21 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     left = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
     right = salted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__salts"), F.lit(1)) - 1))).drop("__salts")
     return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
+def salted_pairs(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, parts: int = 1000) -> DataFrame:
+    """Inner join of two frames that both may hold many rows of a key.
+
+    A key with more than ``1 / parts`` of all result rows is hot: its left rows
+    are spread over salts by the hash of ``spread`` (of left columns) and its
+    right rows are repeated once per salt, so each task gets a share of the
+    result. There are fewer than ``parts`` hot keys; their list is broadcast.
+    Rows are those of the plain join; null keys match nothing.
+    """
+    l, r = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for d, n in ((left, "__l"), (right, "__r")))
+    sizes = l.join(r, keys).select(*keys, (F.col("__l") * F.col("__r")).alias("__n"))
+    total = sizes.agg(F.sum("__n")).scalar()
+    hot = F.broadcast(sizes.select(*keys, F.ceil(F.col("__n") * parts / total).cast("int").alias("__salts")).where("__salts > 1"))
+    left = left.join(hot, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
+    right = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
