@@ -9,7 +9,7 @@ from pairloom.llm.distinctive import concentrated_terms, term_weights
 from pairloom.llm.fusion import fuse_ranks, top_share
 from pairloom.llm.leakage import leaks
 from pairloom.llm.packing import pack
-from pairloom.llm.products import every_product, product_groups, product_pairs
+from pairloom.llm.products import product_groups, product_pairs
 from pairloom.llm.residue import residue, without_residue
 from pairloom.llm.splits import assign_splits, tied_groups
 from pairloom.sources.tables import table
@@ -47,8 +47,7 @@ def p4_found(spark, d):
 
 def p4_products(spark, d):
     """One row per listing: the scalable form of the grouping."""
-    df = table(spark, d, "train_df")
-    groups = every_product(df, "variantid_1", product_groups(df, "variantid_1", *PRODUCT))
+    groups = product_groups(table(spark, d, "train_df"), "variantid_1", *PRODUCT)
     return groups.select(F.col("id").alias("variantid_1"), "product")
 
 

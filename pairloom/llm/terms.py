@@ -50,6 +50,7 @@ _COUNT_FIRST = re.compile(r"(?:на|of)\s+(\d+)\s+(?:предметов|пред
 _TYRE = re.compile(r"(?<!\d)(\d{3})\s*[/\s-]\s*(\d{2})\s*[/\s-]?\s*[rр]\s*(\d{2})(?!\d)")
 _L = "a-z" + "".join(LOOKALIKE)
 _CODE = re.compile(rf"(?<![^\W_])([{_L}]{{2,5}})[ \-]?(\d{{1,5}})(?:([ \-]?)([{_L}]{{1,5}}))?(?![^\W_])")
+_NUMBER_BEFORE = re.compile(r"\d[ \-]?\Z")
 _TO_LATIN = str.maketrans(LOOKALIKE)
 _WORD = re.compile(r"[^\W_]+")
 _CYR, _LAT = re.compile("[а-я]"), re.compile("[a-z]")
@@ -108,15 +109,19 @@ def measures(text: str) -> set[str]:
 def codes(text: str) -> list[tuple[str, str]]:
     """``(letters and digits, suffix)`` of every model code in the text.
 
-    Letters that look Latin count as Latin. A unit or the word for size before
-    a number is no code, and only ``SUFFIXES`` are suffixes: another word
-    behind the digits is ignored where it stands apart.
+    Letters that look Latin count as Latin, and only ``SUFFIXES`` are suffixes:
+    another word behind the digits is ignored where it stands apart. Letters
+    that are also a unit begin a code unless a number stands before them
+    (``20 pcs 5``), few digits after them (``шт 5``) or they name the size.
     """
     out = []
-    for letters, digits, gap, tail in _CODE.findall(text):
-        a, s = letters.translate(_TO_LATIN), tail.translate(_TO_LATIN)
+    for m in _CODE.finditer(text):
+        letters, digits, gap, tail = m.groups()
+        a, s = letters.translate(_TO_LATIN), (tail or "").translate(_TO_LATIN)
         # two Cyrillic letters before a number are a preposition, not a code
-        if len(letters) == 2 and not _LAT.search(letters) or a in _UNIT or s not in SUFFIXES and s and not gap:
+        if len(letters) == 2 and not _LAT.search(letters) or s not in SUFFIXES and s and not gap:
+            continue
+        if a in _UNIT and (_UNIT[a][0] == "size" or len(digits) < 3 or _NUMBER_BEFORE.search(text, 0, m.start())):
             continue
         out.append((a + digits, s if s in SUFFIXES else ""))
     return out
@@ -131,3 +136,16 @@ def attributes(text: str | None) -> dict:
         return got if isinstance(got, dict) else {}
     except (ValueError, RecursionError):
         return dict(re.findall(r'"([^"\\{}\[\]]+)"\s*:\s*"([^"\\]*)"', text))
+
+
+def members(tree, skip: frozenset[str]):
+    """``(key, scalar as text)`` of every member at any depth, but for what keys in ``skip`` hold; depth-first."""
+    stack = [("", tree)]
+    while stack:
+        key, v = stack.pop()
+        if isinstance(v, dict):
+            stack += [(k, x) for k, x in reversed(v.items()) if plain(k).strip() not in skip]
+        elif isinstance(v, list):
+            stack += [(key, x) for x in reversed(v)]
+        elif isinstance(v, str) or type(v) in (int, float):
+            yield key, str(v)
