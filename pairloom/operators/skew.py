@@ -6,6 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def hot_keys(df: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
+    """``keys`` and ``__salts`` (2 or more) of each key with over ``1 / parts`` of the rows: fewer than ``parts`` of them."""
+    sizes = df.where(_whole(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = sizes.agg(F.sum("__n")).scalar()
+    return sizes.select(*keys, F.ceil(F.col("__n") * parts / total).cast("int").alias("__salts")).where("__salts > 1")
+
+
+def spread_rows(df: DataFrame, hot: DataFrame, keys: list[str], spread: Column, parts: int = 1000) -> DataFrame:
+    """``df`` with ``__salt``: rows of hot keys over their salts by the hash of ``spread``, rows without key over all."""
+    # fewer than ``parts`` rows
+    out = df.join(F.broadcast(hot), keys, "left")
+    salts = F.when(_whole(keys), F.coalesce("__salts", F.lit(1))).otherwise(F.lit(parts))
+    return out.withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
+
+
+def repeat_rows(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``__salt``: rows of hot keys once for each of their salts."""
+    out = df.join(F.broadcast(hot), keys, "left")
+    return out.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """Join of ``left`` with the rows of its keys in ``right``, keys that hold most rows of ``left`` split.
+
+    The hot keys are counted in ``left`` (aggregated before the shuffle). ``how``
+    is ``inner``, ``left`` or ``left_anti``; rows are those of the plain join.
+    """
+    hot = hot_keys(left, keys, parts)
+    return spread_rows(left, hot, keys, spread, parts).join(repeat_rows(right, hot, keys), [*keys, "__salt"], how).drop("__salt")
+
+
+def _whole(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: Column, spread: Column, parts: int = 1000) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per key.
 

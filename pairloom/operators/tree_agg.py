@@ -3,16 +3,19 @@
 Level 0 folds fixed-size chunks of the input where they lie. Each further
 level merges the states of ``fan_in`` neighbouring nodes, so no reducer ever
 receives all the partial states of a key: at most ``fan_in`` at each level,
-however many rows the key has. Depth and fan-in are constants of the plan.
+however many rows the key has. The number of levels is the logarithm of the
+number of chunks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class State:
@@ -66,34 +69,32 @@ def approx_distinct(col: str, name: str, lg_k: int = 14) -> list[State]:
     ]
 
 
-def tree_aggregate(
-    df: DataFrame,
-    keys: list[str],
-    states: list[State],
-    chunk_rows: int = 65_536,
-    fan_in: int = 16,
-    levels: int = 3,
-) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: list[str], states: list[State], chunk_rows: int = 65_536, fan_in: int = 16) -> DataFrame:
     """``keys`` and one column per state, one row per distinct key.
 
     Leaves are chunks of ``chunk_rows`` consecutive rows of an input partition,
-    numbered by partition and position and spread over ``fan_in ** levels``
-    nodes. A null key forms its own group. Empty input gives no rows, and a key
+    folded by their own task and staged. They are numbered through all
+    partitions, and each round merges ``fan_in`` neighbours, until one node is
+    left. A null key forms its own group. Empty input gives no rows, and a key
     whose values are all null gives null sums, minima and maxima. Columns of
     ``df`` that are not named are not read.
     """
-    nodes = fan_in**levels
     held = [s for s in states if s.init is not None]
-    node = F.monotonically_increasing_id()
     # upper 31 bits: partition, lower 33: row in it
-    leaf = F.pmod(F.xxhash64(F.shiftright(node, 33), F.floor(node.bitwiseAND((1 << 33) - 1) / chunk_rows)), F.lit(nodes))
-    out = df.withColumn("__node", leaf.cast("int"))
-    aggs = [s.init.alias(s.name) for s in held]
-    for _ in range(levels):
-        # partial aggregation folds each task's chunks before this exchange
-        out = out.withColumn("__node", F.floor(F.col("__node") / fan_in).cast("int")).groupBy(*keys, "__node").agg(*aggs)
-        aggs = [_MERGE[s.merge](s.name).alias(s.name) for s in held]
-    out = out.groupBy(*keys).agg(*aggs)
+    row = F.monotonically_increasing_id()
+    chunked = df.withColumn("__row", row).withColumn("__part", F.shiftright("__row", 33)).withColumn("__chunk", F.floor(F.col("__row").bitwiseAND((1 << 33) - 1) / chunk_rows))
+    leaves = Scratch(df.sparkSession, "tree").save(chunked.groupBy(*keys, "__part", "__chunk").agg(*[s.init.alias(s.name) for s in held]))
+    # one row per input partition
+    sizes = leaves.groupBy("__part").agg((F.max("__chunk") + 1).alias("__chunks"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__chunks").over(before), F.lit(0)).alias("__first"))
+    n = sizes.agg(F.sum("__chunks")).first()[0] or 0
+    out = leaves.join(F.broadcast(offsets), "__part").withColumn("__node", F.col("__first") + F.col("__chunk"))
+    merged = [_MERGE[s.merge](s.name).alias(s.name) for s in held]
+    while n > fan_in:
+        n = -(-n // fan_in)
+        out = out.withColumn("__node", F.floor(F.col("__node") / fan_in)).groupBy(*keys, "__node").agg(*merged)
+    out = out.groupBy(*keys).agg(*merged)
     cols = [s.final().alias(s.name) if s.final else F.col(s.name) for s in states if not s.name.startswith("__")]
     return out.select(*keys, *cols)
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from pairloom.operators.skew import salted_join, salted_pairs
+from pairloom.operators.skew import salted_join, salted_lookup, salted_pairs
 
 
 def rows(df):
@@ -19,6 +19,14 @@ def test_many_to_many(spark):
     assert salted_pairs(left.limit(0), right, ["k"], F.col("a")).collect() == []
 
 
+def test_lookup(spark):
+    left = spark.createDataFrame([("hot" if i % 2 else f"k{i % 7}", i) for i in range(300)] + [(None, -1)] * 3, "k string, a int")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3)], "k string, b int")
+    for how in ("inner", "left", "left_anti"):
+        got, want = salted_lookup(left, right, ["k"], F.col("a"), how, parts=10), left.join(right, "k", how)
+        assert rows(got.select(*want.columns)) == rows(want)
+
+
 def test_hot_key_is_spread(spark):
     """One key with half of the rows: no task of the join holds more than a small share of them."""
     left = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")

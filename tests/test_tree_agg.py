@@ -11,12 +11,12 @@ def rows(n=3000, seed=1):
     return [("hot" if rng.random() < 0.4 else rng.choice("abcdefg") if rng.random() < 0.9 else None, rng.choice([None, rng.randint(-9, 9)])) for _ in range(n)]
 
 
-@pytest.mark.parametrize("chunk,fan,levels", [(7, 2, 3), (100, 4, 2), (65536, 16, 3), (1, 3, 1)])
-def test_matches_brute_force(spark, chunk, fan, levels):
+@pytest.mark.parametrize("chunk,fan", [(7, 2), (100, 4), (65536, 16), (1, 3)])
+def test_matches_brute_force(spark, chunk, fan):
     data = rows()
     df = spark.createDataFrame(data, "k string, v int").repartition(5)
     states = count_rows("n") + count_values("v", "nv") + sum_of("v", "s") + min_of("v", "lo") + max_of("v", "hi") + mean_of("v", "m") + approx_distinct("v", "d")
-    got = {r["k"]: r for r in tree_aggregate(df, ["k"], states, chunk, fan, levels).collect()}
+    got = {r["k"]: r for r in tree_aggregate(df, ["k"], states, chunk, fan).collect()}
     want = defaultdict(list)
     for k, v in data:
         want[k].append(v)
@@ -45,9 +45,10 @@ def test_frequent_keys(spark):
     assert frequent_keys(spark.createDataFrame([], "k string"), "k").collect() == []
 
 
-def test_reducers_receive_at_most_fan_in_states_of_a_key(spark):
-    df = spark.range(0, 4096, 1, 64).selectExpr("'hot' AS k")
-    plan = tree_aggregate(df, ["k"], count_rows(), chunk_rows=1, fan_in=4, levels=3)
-    assert plan.first()["n_rows"] == 4096
-    # three rounds over (key, node) and one over the key
-    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+@pytest.mark.parametrize("rows,rounds", [(4096, 6), (256, 4), (3, 1)])
+def test_depth_follows_the_number_of_chunks(spark, rows, rounds):
+    """Each round merges four neighbours: 4096, 1024, 256, 64, 16, 4 and one node."""
+    df = spark.range(0, rows, 1, min(rows, 64)).selectExpr("'hot' AS k")
+    plan = tree_aggregate(df, ["k"], count_rows(), chunk_rows=1, fan_in=4)
+    assert plan.first()["n_rows"] == rows
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == rounds + 1  # one numbers the chunks
