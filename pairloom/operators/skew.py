@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 def hot_keys(df: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
     """``keys`` and ``__salts`` (2 or more) of each key with over ``1 / parts`` of the rows: fewer than ``parts`` of them."""
-    sizes = df.where(_whole(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = sizes.agg(F.sum("__n")).scalar()
-    return sizes.select(*keys, F.ceil(F.col("__n") * parts / total).cast("int").alias("__salts")).where("__salts > 1")
+    return hot_of(df.where(_whole(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, "__n", parts)
+
+
+def hot_of(sizes: DataFrame, keys: list[str], n: str, parts: int = 1000) -> DataFrame:
+    """``hot_keys`` where the rows of each key are already counted, in column ``n``."""
+    total = sizes.agg(F.sum(n)).scalar()
+    return sizes.select(*keys, F.ceil(F.col(n) * parts / total).cast("int").alias("__salts")).where("__salts > 1")
 
 
 def spread_rows(df: DataFrame, hot: DataFrame, keys: list[str], spread: Column, parts: int = 1000) -> DataFrame:
@@ -27,13 +31,14 @@ def repeat_rows(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", parts: int = 1000) -> DataFrame:
+def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", parts: int = 1000, hot: DataFrame | None = None) -> DataFrame:
     """Join of ``left`` with the rows of its keys in ``right``, keys that hold most rows of ``left`` split.
 
-    The hot keys are counted in ``left`` (aggregated before the shuffle). ``how``
+    The hot keys are counted in ``left`` (aggregated before the shuffle) where
+    they are not given. ``how``
     is ``inner``, ``left`` or ``left_anti``; rows are those of the plain join.
     """
-    hot = hot_keys(left, keys, parts)
+    hot = hot_keys(left, keys, parts) if hot is None else hot
     return spread_rows(left, hot, keys, spread, parts).join(repeat_rows(right, hot, keys), [*keys, "__salt"], how).drop("__salt")
 
 
