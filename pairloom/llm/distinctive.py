@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.skew import salted_join
+from pairloom.scratch import Scratch
 
 TERM = r"[\p{L}\p{N}]{%d,}"
 
@@ -43,12 +44,13 @@ def term_weights(df: DataFrame, id_col: str, text_cols: list[str], min_len: int
     observed inverse document frequency minus the one that a Poisson spread of
     the same ``cf`` occurrences would give; ``weight = tf * ridf``. Terms spread
     evenly score about 0 or less, terms concentrated in few records high. All
-    statistics are over all records. An empty table gives no rows. Terms that
+    statistics are over all records; counts are staged once. An empty table gives no rows. Terms that
     stand everywhere are salted in the join that brings the statistics back.
     """
-    counts = term_counts(df, id_col, text_cols, min_len)
-    stats = collection_counts(counts)
-    n = records(df, id_col, text_cols[:1]).agg(F.count(F.lit(1)).alias("n")).scalar()
+    scratch = Scratch(df.sparkSession, "terms")
+    counts = scratch.save(term_counts(df, id_col, text_cols, min_len))
+    stats = scratch.save(collection_counts(counts))
+    n = df.where(F.col(id_col).isNotNull()).agg(F.count_distinct(id_col).alias("n")).scalar()
     total = stats.agg(F.sum("df").alias("t")).scalar()
     both = salted_join(counts, stats, ["term"], "df", total, F.col("id"))
     poisson = -F.log2(-F.expm1(-F.col("cf") / n))
@@ -59,7 +61,8 @@ def term_weights(df: DataFrame, id_col: str, text_cols: list[str], min_len: int
 def concentrated_terms(df: DataFrame, id_col: str, text_cols: list[str], min_tf: int = 3, min_df: int = 2, max_df: int = 5) -> DataFrame:
     """Terms of ``term_weights`` that stand often in a record and in few records at all.
 
-    Both bounds reach their side of the join before it: rows below ``min_tf``
+    The case is stated by those two counts; the weights that come with it order
+    it. Both bounds reach their side of the join before it: rows below ``min_tf``
     and terms outside the ``df`` range are not shuffled for it.
     """
     return term_weights(df, id_col, text_cols).where((F.col("tf") >= min_tf) & F.col("df").between(min_df, max_df))

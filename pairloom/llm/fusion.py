@@ -21,7 +21,7 @@ def distinct_pairs(df: DataFrame, a: str, b: str, scores: list[str]) -> DataFram
     return both.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(*usable)
 
 
-def fuse_ranks(df: DataFrame, a: str, b: str, scores: list[str], constant: float = 0.1, min_usable: int = 2) -> DataFrame:
+def fuse_ranks(df: DataFrame, a: str, b: str, scores: list[str], constant: float = 0.1, k: float | None = None, min_usable: int = 2) -> DataFrame:
     """``(a, b, n_usable, fused, place)``: place 1 is the pair that stands highest on all scores.
 
     Pairs are ranked apart per score, higher first; equal values share the
@@ -29,8 +29,10 @@ def fuse_ranks(df: DataFrame, a: str, b: str, scores: list[str], constant: float
     ``1 / (constant * N + r)``: the constant is a share of N (the classic 60 is
     about 0.02 of 3,000), so a lead counts alike at any size of input and
     score. ``fused`` is the mean over a pair's usable scores of
-    ``N / (constant * N + r)``, and pairs with fewer than ``min_usable`` have no
-    row. Ties in ``fused`` are ordered by ids. Empty input gives no rows.
+    ``N / (constant * N + r)``, that is the sum with an unusable score counted
+    as the mean of the others; pairs with fewer than ``min_usable`` have no
+    row. ``k`` gives the classic form instead: the sum of ``1 / (k + r)`` over
+    the usable scores. Ties in ``fused`` are ordered by ids. Empty input gives no rows.
 
     Ranks come from the distinct values with their counts, so a value that very
     many pairs share is one row there; bringing the ranks back is salted.
@@ -44,10 +46,11 @@ def fuse_ranks(df: DataFrame, a: str, b: str, scores: list[str], constant: float
     ranked = scratch.save(ranked.withColumn("rank", F.col("first") + (F.col("n") - 1) / 2))
     sizes = ranked.groupBy("s").agg(F.sum("n").alias("size"))  # one row per score
     ranked = ranked.join(F.broadcast(sizes), "s")
-    total = ranked.agg(F.sum("n").alias("t")).scalar()
-    back = salted_join(long, ranked, ["s", "v"], "n", total, F.concat("a", "b"))
+    held = ranked.agg(F.sum("n").alias("t")).scalar()
+    back = salted_join(long, ranked, ["s", "v"], "n", held, F.concat("a", "b"))
     one = F.col("size") / (F.lit(constant) * F.col("size") + F.col("rank"))
-    fused = back.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_usable"), F.round(F.avg(one), 9).alias("fused")).where(F.col("n_usable") >= min_usable)
+    total = F.avg(one) if k is None else F.sum(1 / (F.lit(float(k)) + F.col("rank")))
+    fused = back.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_usable"), F.round(total, 9).alias("fused")).where(F.col("n_usable") >= min_usable)
     return global_rank(fused, scratch, [F.desc("fused"), F.asc("a"), F.asc("b")], "place")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import frontier_components, links
+from pairloom.operators.skew import salted_lookup
 from pairloom.scratch import Scratch
 
 BUCKETS = 1024  # hash cells per stratum
@@ -13,7 +14,7 @@ HEAVY = 200  # a unit is heavy from 1/HEAVY of all rows on: at most HEAVY of the
 STRATA = 11  # label rate 0, and tenths above it
 
 
-def tied_groups(df: DataFrame, group: str, label: str, a: str, b: str, none: tuple = (-1,), small_edges: int = 200_000) -> DataFrame:
+def tied_groups(df: DataFrame, group: str, label: str, a: str, b: str, none: tuple = (-1,)) -> DataFrame:
     """``(group, unit)`` of each group tied to another; ``unit`` is the least group tied with it.
 
     Two groups are tied when one record, in ``a`` or ``b``, stands in rows of
@@ -27,8 +28,9 @@ def tied_groups(df: DataFrame, group: str, label: str, a: str, b: str, none: tup
     stands = rows.select(F.explode(F.array(a, b)).alias("record"), F.col(group).alias("g")).where("record IS NOT NULL").distinct()
     stands = scratch.save(stands)
     least = stands.groupBy("record").agg(F.min("g").alias("m"), F.max("g").alias("x")).where("m < x").select("record", "m")
-    star = stands.join(least, "record").where("g <> m").select("g", "m")
-    found = frontier_components(links(star, "g", "m"), scratch, small_edges)
+    # a record may stand in very many groups
+    star = salted_lookup(stands, least, ["record"], F.col("g")).where("g <> m").select("g", "m")
+    found = frontier_components(links(star, "g", "m"), scratch)
     return found.select(F.col("id").alias("group"), F.col("label").alias("unit"))
 
 
@@ -55,10 +57,11 @@ def assign_splits(df: DataFrame, group: str, label: str, a: str, b: str, shares:
     is_group = F.col(group).isNotNull() & ~F.col(group).isin(*none)
     pair = F.concat_ws("|", F.lit("pair"), F.least(a, b), F.greatest(a, b))
     unit = F.when(is_group, F.concat(F.lit("g"), F.coalesce("__unit", group).cast("string"))).otherwise(pair)
-    # ties: one row per tied group, far fewer than rows
-    rows = rows.join(ties, group, "left").withColumn("unit", unit).drop("__unit")
+    # a group may hold very many rows, and a unit more
+    scratch = Scratch(df.sparkSession, "units")
+    rows = scratch.save(salted_lookup(rows, ties, [group], F.concat_ws("|", a, b), "left").withColumn("unit", unit).drop("__unit"))
     units = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    units = Scratch(df.sparkSession, "units").save(units.withColumn("stratum", F.ceil(F.col("p") * (STRATA - 1) / F.col("n")).cast("int")).withColumn("cell", _cell(F.col("unit"))))
+    units = scratch.save(units.withColumn("stratum", F.ceil(F.col("p") * (STRATA - 1) / F.col("n")).cast("int")).withColumn("cell", _cell(F.col("unit"))))
     total = units.agg(F.sum("n"), F.sum("p")).first()
     n_all, p_all = total[0] or 0, total[1] or 0
     heavy = units.where(F.col("n") * HEAVY >= n_all).select("unit", "n", "p").collect()
@@ -69,7 +72,7 @@ def assign_splits(df: DataFrame, group: str, label: str, a: str, b: str, shares:
     cut = spark.createDataFrame([(s, c, k) for (s, c), k in cuts.items()] or [(None, None, None)], "stratum int, cell int, __c string")
     # chosen: at most HEAVY rows; cut: at most STRATA x BUCKETS rows
     by_unit = units.join(F.broadcast(chosen), "unit", "left").join(F.broadcast(cut), ["stratum", "cell"], "left").select("unit", F.coalesce("__s", "__c").alias("split"))
-    return rows.join(by_unit, "unit")
+    return salted_lookup(rows, by_unit, ["unit"], F.concat_ws("|", a, b))
 
 
 def _plan(heavy: list[tuple], cells: list[tuple], n_all: int, p_all: int, shares: dict[str, float]) -> tuple[dict, dict]:

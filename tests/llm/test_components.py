@@ -41,8 +41,7 @@ def test_all_methods_agree_with_union_find(spark, kind):
     for r in (30, 1) if kind == "chain" else (1,) if kind == "mixed" else (30,):
         assert dict(map(tuple, link_groups(df, "x", "y", r).collect())) == want
     if kind in ("mixed", "odd", "none"):
-        for small in (200_000, 0):
-            assert dict(map(tuple, frontier_components(links(df, "x", "y"), s, small).collect())) == want
+        assert dict(map(tuple, frontier_components(links(df, "x", "y"), s).collect())) == want
     if kind in ("loose", "none"):
         assert dict(map(tuple, propagate_minimum(links(df, "x", "y"), s).collect())) == want
 

@@ -49,6 +49,12 @@ def test_against_brute_force(spark):
     assert top == {(a, b) for _, a, b in want[: n // 50]}
 
 
+def test_classic_form(spark):
+    df = spark.createDataFrame([("1", "2", 0.9, 5.0, None), ("3", "4", 0.8, 9.0, None), ("5", "6", 0.1, 7.0, 1.0)], "a string, b string, s1 double, s2 double, s3 double")
+    got = {r["a"]: r["fused"] for r in fuse_ranks(df, "a", "b", S, k=60).collect()}
+    assert got == pytest.approx({"1": 1 / 61 + 1 / 63, "3": 1 / 62 + 1 / 61, "5": 1 / 63 + 1 / 62 + 1 / 61}, abs=1e-8)
+
+
 def test_scale_does_not_matter(spark):
     data = [r[:5] for r in rows(100, 5)]
     df = spark.createDataFrame(data, "a string, b string, s1 double, s2 double, s3 double")

@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from pairloom.llm.splits import assign_splits, tied_groups
 
 SCHEMA = "a string, b string, g long, y int, unit string"
@@ -39,15 +37,14 @@ def brute(data):
     return {g: find(g) for g in list(up)}
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
-def test_ties_against_brute_force(spark, small):
+def test_ties_against_brute_force(spark):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)
     want = brute(data)
     sizes = {}
     for u in want.values():
         sizes[u] = sizes.get(u, 0) + 1
-    got = dict(map(tuple, tied_groups(df, "g", "y", "a", "b", small_edges=small).collect()))
+    got = dict(map(tuple, tied_groups(df, "g", "y", "a", "b").collect()))
     assert got == {g: u for g, u in want.items() if sizes[u] > 1}
 
 
