@@ -29,53 +29,71 @@ def items_unpivot(spark, d):
     return items(spark, d)
 
 
-# one flat view of an object in SQL: top-level scalars only; the query below keeps just those objects
-_FLAT = "(j NOT LIKE '%{%{%' AND j NOT LIKE '%[%' AND json_valid(j) AND json_type(j) = 'OBJECT')"
+# flattened members in SQL: objects are walked, of a repeated key the last value counts at the first one's place
 
-
-@R.add(
-    f"""WITH i AS (SELECT DISTINCT j FROM (SELECT {JS}_1 AS j FROM train_df UNION ALL SELECT {JS}_2 FROM train_df) WHERE {_FLAT})
-    SELECT j AS attributes, array_to_string(list_sort(list_transform(list_filter(json_keys(j), lambda k: true), lambda k: k || '=' ||
-        coalesce(nullif(json_extract_string(j, '$."' || k || '"'), 'null'), 'None'))), '|') AS entries FROM i"""
-)
-def flatten_attrs(spark, d):
-    """Flat objects' entries, sorted: the part that SQL can follow of ``flatten_attrs_whole``."""
-    return _sorted_entries(_texts(spark, d).where(_is_flat(F.col("j")))).where("entries IS NOT NULL")
+def _s_text(j):
+    """A JSON value as Python shows it."""
+    s = f"({j})::VARCHAR"
+    for old, made in (('":', '": '), ('",', '", '), ("},", "}, "), ("],", "], ")):
+        s = f"replace({s}, '{old}', '{made}')"
+    s = f"""regexp_replace({s}, '([0-9]|null|true|false),("|[{{]|[[]|null|true|false)', '\\1, \\2', 'g')"""
+    for old, made in (("null", "None"), ("true", "True"), ("false", "False")):
+        s = f"regexp_replace({s}, '([ \\[]){old}([,\\]}}])', '\\1{made}\\2', 'g')"
+    s = f"""regexp_replace({s}, '"((?:[^"\\\\]|\\\\.)*)"', '''\\1''', 'g')"""
+    return f"CASE json_type({j}) WHEN 'VARCHAR' THEN ({j}) ->> '$' WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN CASE WHEN ({j})::VARCHAR = 'true' THEN 'True' ELSE 'False' END WHEN 'OBJECT' THEN {s} WHEN 'ARRAY' THEN {s} ELSE ({j})::VARCHAR END"
 
 
-@R.add()
-def flatten_attrs_whole(spark, d):
-    """Entries of every distinct text, nested objects and arrays flattened; null where it is no object."""
-    return _sorted_entries(_texts(spark, d))
+def _s_at(o, k):
+    return f"""json_extract({o}, '$."' || {k} || '"')"""
 
 
-def _is_flat(j):
-    return ~j.like("%{%{%") & ~j.like("%[%")
+def _s_elements(v):
+    return f"json_extract({v}, '$[*]')"
 
 
-def _texts(spark, d):
-    return pairs(spark, d).select(F.explode(F.array(f"{JS}_1", f"{JS}_2")).alias("j")).distinct()
+def _s_mixed(v):
+    """Whether an array holds anything but objects."""
+    return f"len(list_filter({_s_elements(v)}, lambda a: json_type(a) <> 'OBJECT')) > 0"
 
 
-def _sorted_entries(js):
-    e = js.select("j", A.flat_entries("j").alias("e"))
-    return e.select(F.col("j").alias("attributes"), F.array_join(F.array_sort(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "|").alias("entries"))
+_MEMBER = _s_at("o", "k")
+_S_TEXTS = f"SELECT DISTINCT j FROM (SELECT {JS}_1 AS j FROM train_df UNION ALL SELECT {JS}_2 FROM train_df)"
+# w: objects by text and place; m: (t, k, v, pos), one row per flattened key
+_S_FLAT = f"""x AS ({_S_TEXTS}),
+    w AS (SELECT j AS t, []::BIGINT[] AS path, CASE WHEN json_valid(j) THEN j::JSON END AS o FROM x WHERE json_valid(j) AND json_type(j) = 'OBJECT'
+        UNION ALL SELECT t, list_append(path, c.p), c.o FROM (SELECT t, path, unnest(flatten(list_transform(json_keys(o), lambda k, i: CASE json_type({_MEMBER})
+            WHEN 'OBJECT' THEN [{{'p': i * 100000, 'o': {_MEMBER}}}]
+            WHEN 'ARRAY' THEN CASE WHEN {_s_mixed(_MEMBER)} THEN [] ELSE list_transform({_s_elements(_MEMBER)}, lambda e, z: {{'p': i * 100000 + z, 'o': e}}) END
+            ELSE [] END))) AS c FROM w)),
+    e AS (SELECT t, list_append(path, i * 100000) AS path, k, {_MEMBER} AS v FROM (SELECT t, path, o, unnest(json_keys(o)) AS k, unnest(range(1, len(json_keys(o)) + 1)) AS i FROM w)),
+    f AS (SELECT t, path, k, CASE json_type(v) WHEN 'OBJECT' THEN NULL
+            WHEN 'ARRAY' THEN CASE WHEN {_s_mixed('v')} THEN array_to_string(list_transform({_s_elements('v')}, lambda a: {_s_text('a')}), ',') END ELSE {_s_text('v')} END AS v FROM e),
+    m AS (SELECT t, k, arg_max(v, path) AS v, min(path) AS pos FROM f WHERE v IS NOT NULL GROUP BY 1, 2)"""
+_S_OBJECT = "json_valid({0}) AND json_type({0}) = 'OBJECT'"
 
 
-@R.add(f"SELECT variantid_1, variantid_2, concat_keyval_1 AS keyval FROM train_df WHERE {_FLAT.replace('j ', JS + '_1 ').replace('(j)', '(' + JS + '_1)')} AND concat_keyval_1 <> ''")
-def concat_keyval(spark, d):
-    """Flattened attributes rebuilt from their JSON equal the table's own column: the part that SQL can follow."""
-    return _keyvals(pairs(spark, d).where(_is_flat(F.col(f"{JS}_1")))).where("keyval <> ''")
+@R.add(
+    f"""WITH RECURSIVE {_S_FLAT}, l AS (SELECT t, array_to_string(list_sort(list(k || '=' || v)), '|') AS entries FROM m GROUP BY 1)
+    SELECT j AS attributes, CASE WHEN {_S_OBJECT.format('j')} THEN coalesce(entries, '') END AS entries FROM x LEFT JOIN l ON l.t = x.j"""
+)
+def flatten_attrs(spark, d):
+    """Entries of every distinct text, nested objects and arrays flattened; null where it is no object."""
+    e = _texts(spark, d).select("j", A.flat_entries("j").alias("e"))
+    return e.select(F.col("j").alias("attributes"), F.array_join(F.array_sort(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "|").alias("entries"))
 
 
-@R.add()
-def concat_keyval_whole(spark, d):
-    """``key=value`` text of every pair's first attributes; empty without entries, null where they are no object."""
-    return _keyvals(pairs(spark, d))
+def _texts(spark, d):
+    return pairs(spark, d).select(F.explode(F.array(f"{JS}_1", f"{JS}_2")).alias("j")).distinct()
 
 
-def _keyvals(df):
-    return df.select(*IDS, A.concat_keyval(A.flat_entries(f"{JS}_1")).alias("keyval"))
+@R.add(
+    f"""WITH RECURSIVE {_S_FLAT}, l AS (SELECT t, array_to_string(list(k || '=' || v ORDER BY pos), ' ') AS kv FROM m GROUP BY 1)
+    SELECT variantid_1, variantid_2, {', '.join(f"CASE WHEN {_S_OBJECT.format(f'{JS}_{k}')} THEN coalesce(l{k}.kv, '') END AS keyval_{k}" for k in (1, 2))}
+    FROM train_df {' '.join(f'LEFT JOIN l l{k} ON l{k}.t = {JS}_{k}' for k in (1, 2))}"""
+)
+def concat_keyval(spark, d):
+    """``key=value`` texts of both sides' flattened attributes; empty without entries, null where they are no object."""
+    return pairs(spark, d).select(*IDS, *[A.concat_keyval(A.flat_entries(f"{JS}_{k}")).alias(f"keyval_{k}") for k in (1, 2)])
 
 
 def _s_map(k):
@@ -94,21 +112,37 @@ def attr_keys_vals(spark, d):
     return m.select(*IDS, n("k1").alias("n_keys_1"), n("k2").alias("n_keys_2"), n(F.array_intersect("k1", "k2")).alias("n_common"))
 
 
-@R.add()
+def _s_lists(k):
+    o, first = f"{JS}_{k}", f"json_extract({_MEMBER}, '$[0]')"
+    is_list, nested = f"json_type({_MEMBER}) = 'ARRAY'", f"json_type({first}) = 'OBJECT'"
+    keys = f"CASE WHEN {is_list} AND {nested} THEN list_concat([k], json_keys({first})) ELSE [k] END"
+    item = _s_text("a")
+    none = f"CASE WHEN json_type(a) = 'NULL' THEN 'none' ELSE {item} END"
+    vals = f"CASE WHEN {is_list} AND {nested} THEN list_transform(list_transform(json_keys({first}), lambda z: {_s_at(first, 'z')}), lambda a: {none}) WHEN {is_list} THEN list_transform({_s_elements(_MEMBER)}, lambda a: {item}) ELSE [{_s_text(_MEMBER)}] END"
+    made = ", ".join(f"coalesce(flatten(list_transform(json_keys(o), lambda k: {c})), [])::VARCHAR[] AS {n}" for n, c in (("keys", keys), ("vals", vals)))
+    return f"q{k} AS (SELECT j, {made} FROM (SELECT j, CASE WHEN {_S_OBJECT.format('j')} THEN j::JSON END AS o FROM ({_S_TEXTS})))"
+
+
+_S_LISTS = f"WITH {_s_lists(1)}, q AS (SELECT variantid_1, variantid_2, " + ", ".join(f"{k}.{x} AS attr_{x}_{i}" for i, k in ((1, "a"), (2, "b")) for x in ("keys", "vals")) + f" FROM train_df JOIN q1 a ON a.j IS NOT DISTINCT FROM {JS}_1 JOIN q1 b ON b.j IS NOT DISTINCT FROM {JS}_2)"
+
+
+@R.add(f"{_S_LISTS} SELECT * FROM q")
 def attr_lists(spark, d):
-    """Key and value lists of both sides with nested first objects (fixtures and a reference visitor test them)."""
+    """Key and value lists of both sides: a list's first object gives its keys and values, other lists their items."""
     kv = pairs(spark, d).select(*IDS, *[A.keys_and_values(f"{JS}_{k}").alias(f"kv{k}") for k in (1, 2)])
     return kv.select(*IDS, *[F.col(f"kv{k}.{x}").alias(f"attr_{x}_{k}") for k in (1, 2) for x in ("keys", "vals")])
 
 
-@R.add()
+_LISTS = ("attr_keys_1", "attr_vals_1", "attr_keys_2", "attr_vals_2")
+
+
+@R.add(f"{_S_LISTS} SELECT * FROM q WHERE " + " AND ".join(f"len({c}) > 0" for c in _LISTS))
 def nonempty_attr_filter(spark, d):
     """Rows none of whose attribute lists is empty."""
-    df = attr_lists(spark, d)
     keep = F.lit(True)
-    for c in ("attr_keys_1", "attr_vals_1", "attr_keys_2", "attr_vals_2"):
+    for c in _LISTS:
         keep = keep & (F.size(c) > 0)
-    return df.where(keep)
+    return attr_lists(spark, d).where(keep)
 
 
 # key=value lists as the pair table holds them (blank-separated), natively comparable in SQL
@@ -116,31 +150,14 @@ _KV = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lamb
 
 
 @R.add(
-    f"""WITH m AS (SELECT variantid_1, variantid_2, {_s_map(1)} AS a, {_s_map(2)} AS b FROM train_df),
-    k AS (SELECT *, list_intersect(json_keys(a), json_keys(b)) AS ks FROM m)
-    SELECT variantid_1, variantid_2, CASE WHEN len(ks) > 0 THEN round(len(list_filter(ks, lambda k:
-        list_sort(list_distinct(string_split(a ->> ('$."' || k || '"'), ''))) = list_sort(list_distinct(string_split(b ->> ('$."' || k || '"'), '')))
-    ))::DOUBLE / len(ks), 6) END AS attrs_equal FROM k WHERE {_FLAT.replace('j ', 'a::VARCHAR ').replace('(j)', '(a::VARCHAR)')} AND {_FLAT.replace('j ', 'b::VARCHAR ').replace('(j)', '(b::VARCHAR)')}"""
+    f"""WITH RECURSIVE {_S_FLAT}, u AS (SELECT DISTINCT {JS}_1 AS a, {JS}_2 AS b FROM train_df),
+    c AS (SELECT a, b, count(*) AS n, count_if(list_sort(list_distinct(string_split(m.v, ''))) = list_sort(list_distinct(string_split(n.v, '')))) AS same
+        FROM u JOIN m ON m.t = a JOIN m n ON n.t = b AND n.k = m.k GROUP BY 1, 2)
+    SELECT variantid_1, variantid_2, round(same::DOUBLE / n, 6) AS attrs_equal FROM train_df LEFT JOIN c ON a = {JS}_1 AND b = {JS}_2"""
 )
 def attrs_fully_eq(spark, d):
-    """Share of common keys with equal values (as character sets), for flat objects on both sides: the part that SQL can follow."""
-    df = pairs(spark, d)
-    for k in (1, 2):
-        df = df.where(_is_flat(F.col(f"{JS}_{k}")))
-    return _equal_shares(_maps(df).where("m1 IS NOT NULL AND m2 IS NOT NULL"))
-
-
-@R.add()
-def attrs_fully_eq_whole(spark, d):
-    """The same for every pair, over flattened members; null without common keys or where a side is no object."""
-    return _equal_shares(_maps(pairs(spark, d)))
-
-
-def _maps(df):
-    return df.select(*IDS, *[F.map_from_entries(A.flat_entries(f"{JS}_{k}")).alias(f"m{k}") for k in (1, 2)])
-
-
-def _equal_shares(m):
+    """Share of common flattened keys with equal values (as character sets); null without common keys or where a side is no object."""
+    m = pairs(spark, d).select(*IDS, *[F.map_from_entries(A.flat_entries(f"{JS}_{k}")).alias(f"m{k}") for k in (1, 2)])
     return m.select(*IDS, r6(A.fully_equal_share(F.col("m1"), F.col("m2"))).alias("attrs_equal"))
 
 

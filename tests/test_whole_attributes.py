@@ -29,16 +29,16 @@ def rows(spark, folder, name):
 
 
 def test_flatten(spark, folder):
-    got = dict(rows(spark, folder, "flatten_attrs_whole"))
+    got = dict(rows(spark, folder, "flatten_attrs"))
     assert got[NESTED] == "a=1|c=2|d=x,y|f=u|g=v"
     assert set(got) == {t for r in ROWS for t in r[2:]} and got["{cut"] is None and got[None] is None and got["{}"] == ""
 
 
 def test_keyval(spark, folder):
-    got = {r[0]: r[2] for r in rows(spark, folder, "concat_keyval_whole")}
+    got = {r[0]: r[2] for r in rows(spark, folder, "concat_keyval")}  # the first side
     assert got == {"p": "a=1 c=2 d=x,y f=u g=v", "r": "", "t": None, "v": None, "x": "a=12"}
 
 
 def test_equal_share(spark, folder):
-    got = {r[0]: r[2] for r in rows(spark, folder, "attrs_fully_eq_whole")}
+    got = {r[0]: r[2] for r in rows(spark, folder, "attrs_fully_eq")}
     assert got == {"p": pytest.approx(2 / 3, abs=1e-6), "r": None, "t": None, "v": None, "x": 1.0}
