@@ -6,6 +6,7 @@ pairs in a batch are computed once.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -121,6 +122,21 @@ def jaro_winkler(a: str, b: str) -> float:
 
 def damerau_levenshtein(a: str, b: str) -> float:
     """Insertions, deletions, substitutions and swaps, where text may be edited between swapped letters."""
+    # what both begin and end with costs nothing
+    k = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        k += 1
+    a, b = a[k:], b[k:]
+    k = 0
+    for x, y in zip(reversed(a), reversed(b)):
+        if x != y:
+            break
+        k += 1
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    if not a or not b:
+        return float(len(a) + len(b))
     last: dict[str, int] = {}
     far = len(a) + len(b)
     d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
@@ -143,6 +159,22 @@ def damerau_levenshtein(a: str, b: str) -> float:
     return float(d[len(a) + 1][len(b) + 1])
 
 
+def shared_items(a: list, b: list) -> float:
+    """Size of the common multiset of two lists."""
+    if len(a) > len(b):
+        a, b = b, a
+    left = Counter(a)
+    return float(sum(min(n, k) for x, n in Counter(b).items() if (k := left.get(x))))
+
+
+def _list_udf(fn: Callable[[list, list], float]):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else float(fn(list(x), list(y))) for x, y in zip(a, b)], dtype="float64")
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, DoubleType())
+
+
 def _udf(fn: Callable[[str, str], float]):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         memo: dict = {}
@@ -167,3 +199,5 @@ token_set_udf = _udf(token_set)
 weighted_udf = _udf(weighted)
 jaro_winkler_udf = _udf(jaro_winkler)
 damerau_levenshtein_udf = _udf(damerau_levenshtein)
+shared_items_udf = _list_udf(shared_items)
+lcs_words_udf = _list_udf(lcs_length)

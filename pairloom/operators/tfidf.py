@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.skew import salted_join, salted_lookup
+from pairloom.scratch import Scratch
+
 
 def idf_table(texts: DataFrame, tokens: Column) -> DataFrame:
     """``(term, df, idf)`` over the rows of ``texts``: ln((1 + n) / (1 + df)) + 1, n the number of rows."""
@@ -25,14 +28,22 @@ def tfidf_cosine(df: DataFrame, a: str, b: str, tokens) -> DataFrame:
     once, and a text that many pairs share is tokenised once. Only shared
     terms of a pair are multiplied.
     """
-    texts = distinct_texts(df, [a, b]).withColumn("tid", F.xxhash64("text"))
-    idf = idf_table(texts, tokens(F.col("text")))
-    tf = texts.select("text", F.explode(tokens(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(idf, "term").select("text", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    scratch = Scratch(df.sparkSession, "tfidf")
+    # a text is known by two hashes, so that whole texts are not carried through the joins
+    tid = lambda c: F.struct(F.xxhash64(c).alias("h"), F.md5(c).alias("m"))
+    texts = distinct_texts(df, [a, b]).select("text", tid("text").alias("tid"))
+    tf = scratch.save(texts.select("tid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("tid", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    total = tf.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # stop words stand in most texts
+    w = salted_join(tf, idf, ["term"], "df", total, F.col("tid")).select("tid", "term", (F.col("tf") * F.col("idf")).alias("w"))
     # a text's terms as one row: as many entries as it has distinct words
-    vec = w.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    pairs = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    va, vb = vec.select(F.col("text").alias(a), F.col("v").alias("va"), F.col("norm").alias("na")), vec.select(F.col("text").alias(b), F.col("v").alias("vb"), F.col("norm").alias("nb"))
-    both = pairs.join(va, a, "left").join(vb, b, "left")
-    dot = F.aggregate(F.array_intersect(F.map_keys("va"), F.map_keys("vb")), F.lit(0.0), lambda acc, t: acc + F.element_at("va", t) * F.element_at("vb", t))
-    return both.select(a, b, F.coalesce(F.try_divide(dot, F.col("na") * F.col("nb")), F.lit(0.0)).alias("cosine"))
+    vec = scratch.save(w.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+    pairs = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct().withColumns({"ta": tid(a), "tb": tid(b)})
+    va, vb = (vec.select(F.col("tid").alias(t), F.col("v").alias(f"v{t}"), F.col("norm").alias(f"n{t}")) for t in ("ta", "tb"))
+    # a text may stand in very many pairs
+    both = salted_lookup(pairs, va, ["ta"], F.col("tb"), "left")
+    both = salted_lookup(both, vb, ["tb"], F.col("ta"), "left")
+    dot = F.aggregate(F.array_intersect(F.map_keys("vta"), F.map_keys("vtb")), F.lit(0.0), lambda acc, t: acc + F.element_at("vta", t) * F.element_at("vtb", t))
+    return both.select(a, b, F.coalesce(F.try_divide(dot, F.col("nta") * F.col("ntb")), F.lit(0.0)).alias("cosine"))

@@ -123,10 +123,10 @@ def _s_lists(k):
     return f"q{k} AS (SELECT j, {made} FROM (SELECT j, CASE WHEN {_S_OBJECT.format('j')} THEN j::JSON END AS o FROM ({_S_TEXTS})))"
 
 
-_S_LISTS = f"WITH {_s_lists(1)}, q AS (SELECT variantid_1, variantid_2, " + ", ".join(f"{k}.{x} AS attr_{x}_{i}" for i, k in ((1, "a"), (2, "b")) for x in ("keys", "vals")) + f" FROM train_df JOIN q1 a ON a.j IS NOT DISTINCT FROM {JS}_1 JOIN q1 b ON b.j IS NOT DISTINCT FROM {JS}_2)"
+S_LISTS = f"WITH {_s_lists(1)}, q AS (SELECT variantid_1, variantid_2, " + ", ".join(f"{k}.{x} AS attr_{x}_{i}" for i, k in ((1, "a"), (2, "b")) for x in ("keys", "vals")) + f" FROM train_df JOIN q1 a ON a.j IS NOT DISTINCT FROM {JS}_1 JOIN q1 b ON b.j IS NOT DISTINCT FROM {JS}_2)"
 
 
-@R.add(f"{_S_LISTS} SELECT * FROM q")
+@R.add(f"{S_LISTS} SELECT * FROM q")
 def attr_lists(spark, d):
     """Key and value lists of both sides: a list's first object gives its keys and values, other lists their items."""
     kv = pairs(spark, d).select(*IDS, *[A.keys_and_values(f"{JS}_{k}").alias(f"kv{k}") for k in (1, 2)])
@@ -136,7 +136,7 @@ def attr_lists(spark, d):
 _LISTS = ("attr_keys_1", "attr_vals_1", "attr_keys_2", "attr_vals_2")
 
 
-@R.add(f"{_S_LISTS} SELECT * FROM q WHERE " + " AND ".join(f"len({c}) > 0" for c in _LISTS))
+@R.add(f"{S_LISTS} SELECT * FROM q WHERE " + " AND ".join(f"len({c}) > 0" for c in _LISTS))
 def nonempty_attr_filter(spark, d):
     """Rows none of whose attribute lists is empty."""
     keep = F.lit(True)
