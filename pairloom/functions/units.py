@@ -19,7 +19,7 @@ UNITS = """
 лс об/мин км/ч м/с m/h km/h kmh км/с мм/с миль/ч г/см3 кг/м3 люмен дптр
 пиксель пикс px dpi ppi кадр/с fps flops gflops tflops mips ipc $ € £ ¥ руб. р. rub usd eur
 ядро ядер поток потоков thread core операций/с op/s дюймов inch mp мп mpx мегапиксель мегапикселей
-""".split()
+""".split() + ["лошадиных сил", "куб.см", "куб.м"]
 
 _ALT = "|".join(re.escape(u) for u in sorted(UNITS, key=lambda u: (-len(u), u)))
 # a unit ends at a word boundary: a letter or digit before it and none behind, or the other way round

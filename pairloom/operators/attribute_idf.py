@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.scratch import Scratch
+
 
 def attribute_idf(items: DataFrame, category: str, entries: str) -> DataFrame:
     """``(category, key, n_items, score)``: (c / n) * ln(c / d) per category and key.
@@ -23,6 +25,24 @@ def attribute_idf(items: DataFrame, category: str, entries: str) -> DataFrame:
     return per_key.join(n, category).select(category, "key", "n_items", score.alias("score"))
 
 
+def attribute_idf_levels(items: DataFrame, categories: list[str], entries: str, scratch: Scratch) -> DataFrame:
+    """``(level, category, key, n_items, score)``: ``attribute_idf`` of several category levels in one pass.
+
+    Items are counted per combination of categories first; only those counts
+    are repeated for each level.
+    """
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(c).alias("category")) for k, c in enumerate(categories, 1)])).alias("l")
+    items = scratch.save(items.select(*categories, entries))
+    sizes = items.groupBy(*categories).agg(F.count(F.lit(1)).alias("c"))
+    n = sizes.select(levels, "c").where("l.category IS NOT NULL").groupBy("l.level", "l.category").agg(F.sum("c").alias("n_items"))
+    kv = items.select(*categories, F.explode(entries).alias("e")).groupBy(*categories, "e.key", "e.value").agg(F.count(F.lit(1)).alias("c"))
+    per_value = kv.select(levels, "key", "value", "c").where("l.category IS NOT NULL").groupBy("l.level", "l.category", "key", "value").agg(F.sum("c").alias("c"))
+    per_key = per_value.groupBy("level", "category", "key").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d"))
+    score = F.col("c") / F.col("n_items") * F.log(F.col("c") / F.col("d"))
+    # one row per category on the right
+    return per_key.join(n, ["level", "category"]).select("level", "category", "key", "n_items", score.alias("score"))
+
+
 def ranked_keys(idf: DataFrame, category: str, top: int) -> DataFrame:
     """``(category, top)``: each category's best ``top`` keys, score then key descending, as an array."""
     w = Window.partitionBy(category).orderBy(F.desc("score"), F.desc("key"))

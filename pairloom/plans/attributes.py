@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pairloom.functions import attrs as A
 from pairloom.operators import attribute_idf as I
+from pairloom.operators.skew import salted_lookup
 from pairloom.plans.base import IDS, Registry, pairs, r6
+from pairloom.scratch import Scratch
 
 R = Registry()
 JS = "characteristic_attributes_mapping"
@@ -161,18 +165,25 @@ def attrs_fully_eq(spark, d):
     return m.select(*IDS, r6(A.fully_equal_share(F.col("m1"), F.col("m2"))).alias("attrs_equal"))
 
 
+CATS = [f"category_level_{k}" for k in (1, 2, 3, 4)]
+
+
 def keyed(spark, d):
     """Items with category levels and the entries of their ``key=value`` text."""
-    df = items(spark, d, ["variantid", "category_level_1", "category_level_2", "category_level_3", "category_level_4", "concat_keyval"])
-    return df.withColumn("entries", keyval_entries(F.col("concat_keyval")))
+    return with_entries(items(spark, d, ["variantid", *CATS, "concat_keyval"]), "concat_keyval", "entries")
 
 
-def keyval_entries(c):
-    """Distinct ``key=value`` words of a flattened text as entries; of a repeated key the least value counts."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w.rlike("^[^=]+=[^=]+$"))))
-    pairs_ = F.transform(words, lambda w: F.struct(F.split_part(w, F.lit("="), F.lit(1)).alias("key"), F.split_part(w, F.lit("="), F.lit(2)).alias("value")))
-    first = F.filter(pairs_, lambda e, i: (i == 0) | (F.get(pairs_, i - 1)["key"] != e["key"]))
-    return F.coalesce(first, F.array().cast("array<struct<key:string,value:string>>"))
+def with_entries(df, text, out):
+    """Distinct ``key=value`` words of a flattened text as entries; of a repeated key the least value counts.
+
+    Each array is a column before the next is made of it, so none is computed
+    again for every element.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w.rlike("^[^=]+=[^=]+$"))))
+    two = F.transform("__words", lambda w: F.struct(F.split_part(w, F.lit("="), F.lit(1)).alias("key"), F.split_part(w, F.lit("="), F.lit(2)).alias("value")))
+    first = F.filter("__two", lambda e, i: (i == 0) | (F.get("__two", i - 1)["key"] != e["key"]))
+    df = df.withColumn("__words", words).withColumn("__two", two)
+    return df.withColumn(out, F.coalesce(first, F.array().cast("array<struct<key:string,value:string>>"))).drop("__words", "__two")
 
 
 _S_ENTRIES = """SELECT *, split_part(w, '=', 1) AS key, split_part(w, '=', 2) AS value FROM (
@@ -198,21 +209,24 @@ def _s_idf(level):
 )
 def attr_key_tfidf(spark, d):
     """Information value of every attribute key per category, at all four category levels."""
-    it = keyed(spark, d)
-    out = None
-    for k in (1, 2, 3, 4):
-        part = I.attribute_idf(it, f"category_level_{k}", "entries").select(F.lit(k).alias("level"), F.col(f"category_level_{k}").alias("category"), "key", "n_items", r6(F.col("score")).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def with_top(spark, d, level, top):
-    """Pairs with both sides' key-value maps, whether their category agrees, and its ranked keys."""
-    cat = f"category_level_{level}"
-    ranked = I.ranked_keys(I.attribute_idf(keyed(spark, d), cat, "entries"), cat, top).withColumnRenamed(cat, "cat")
-    df = pairs(spark, d).select(*IDS, F.col(f"{cat}_1").alias("cat"), (F.col(f"{cat}_1") == F.col(f"{cat}_2")).alias("same"), *[F.map_from_entries(keyval_entries(F.col(f"concat_keyval_{k}"))).alias(f"m{k}") for k in (1, 2)])
-    # one row per category, at most ``top`` keys each; adaptive execution picks the strategy by size
-    return df.join(ranked, "cat", "left")
+    f = I.attribute_idf_levels(keyed(spark, d), CATS, "entries", Scratch(spark, "idf"))
+    return f.select("level", "category", "key", "n_items", r6(F.col("score")).alias("score"))
+
+
+def with_top(spark, d):
+    """By level, pairs with both sides' key-value maps, whether their category agrees, and its ranked keys."""
+    scratch = Scratch(spark, "top")
+    idf = I.attribute_idf_levels(keyed(spark, d), CATS, "entries", scratch)
+    ranked = scratch.save(I.ranked_keys(idf.withColumn("cat", F.struct("level", "category")), "cat", max(c[-1] for c in CUTS.values())))
+    df = pairs(spark, d).select(*IDS, *[f"{c}_{k}" for c in CATS for k in (1, 2)], *[f"concat_keyval_{k}" for k in (1, 2)])
+    for k in (1, 2):
+        df = with_entries(df, f"concat_keyval_{k}", f"e{k}")
+    df = scratch.save(df.select(*IDS, *[f"{c}_{k}" for c in CATS for k in (1, 2)], *[F.map_from_entries(f"e{k}").alias(f"m{k}") for k in (1, 2)]))
+    for level, c in enumerate(CATS, 1):
+        top = ranked.where(F.col("cat.level") == level).select(F.col("cat.category").alias("cat"), "top")
+        one = df.select(*IDS, F.col(f"{c}_1").alias("cat"), (F.col(f"{c}_1") == F.col(f"{c}_2")).alias("same"), "m1", "m2")
+        # few categories hold most pairs
+        yield level, salted_lookup(one, top, ["cat"], F.concat(*IDS), "left")
 
 
 def _s_pairs(level):
@@ -223,32 +237,37 @@ def _s_pairs(level):
     t AS (SELECT p.pid, rk, score, a.value = b.value AND same AS hit FROM p JOIN r USING (cat) LEFT JOIN a ON a.pid = p.pid AND a.key = r.key LEFT JOIN b ON b.pid = p.pid AND b.key = r.key)"""
 
 
-@R.add(
-    f"""WITH {_s_idf(1)}, {_s_pairs(1)}
-    SELECT variantid_1, variantid_2, coalesce(sum(CASE WHEN hit AND rk <= 75 THEN 1 ELSE 0 END), 0)::BIGINT AS n_match,
-           coalesce(string_agg(CASE WHEN hit AND rk <= 75 THEN rk::VARCHAR END, ',' ORDER BY rk), '') AS ranks
-    FROM p LEFT JOIN t ON t.pid = p.pid GROUP BY p.pid, variantid_1, variantid_2"""
-)
+def _s_levels(one):
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {_s_idf(k)}, {_s_pairs(k)} {one(k)})" for k in (1, 2, 3, 4))
+
+
+def _s_hits(k):
+    return f"""SELECT {k} AS level, variantid_1, variantid_2, coalesce(sum(CASE WHEN hit AND rk <= {TOP[k]} THEN 1 ELSE 0 END), 0)::BIGINT AS n_match,
+        coalesce(string_agg(CASE WHEN hit AND rk <= {TOP[k]} THEN rk::VARCHAR END, ',' ORDER BY rk), '') AS ranks FROM p LEFT JOIN t ON t.pid = p.pid GROUP BY p.pid, variantid_1, variantid_2"""
+
+
+@R.add(_s_levels(_s_hits))
 def top_attr_match(spark, d):
-    """Which of the category's 75 most informative keys both sides give with the same value."""
-    df = with_top(spark, d, 1, TOP[1])
-    flags = df.select(*IDS, I.match_flags(F.col("m1"), F.col("m2"), F.col("same"), F.col("top"), TOP[1]).alias("f"))
-    hit = F.filter(F.transform("f", lambda x, i: F.when(x == 1, i + 1)), lambda i: i.isNotNull())
-    return flags.select(*IDS, F.size(hit).cast("long").alias("n_match"), F.array_join(hit, ",").alias("ranks"))
+    """Which of the category's most informative keys both sides give with the same value, at all four levels."""
+
+    def one(level, df):
+        flags = df.select(*IDS, I.match_flags(F.col("m1"), F.col("m2"), F.col("same"), F.col("top"), TOP[level]).alias("f"))
+        hit = F.filter(F.transform("f", lambda x, i: F.when(x == 1, i + 1)), lambda i: i.isNotNull())
+        return flags.select(F.lit(level).alias("level"), *IDS, hit.alias("hit")).select("level", *IDS, F.size("hit").cast("long").alias("n_match"), F.array_join("hit", ",").alias("ranks"))
+
+    return reduce(lambda x, y: x.unionByName(y), [one(level, df) for level, df in with_top(spark, d)])
 
 
 def _s_share(cut):
     return f"CASE WHEN same AND coalesce(sum(CASE WHEN rk <= {cut} THEN score END), 0) > 1e-12 THEN round(coalesce(sum(CASE WHEN rk <= {cut} AND hit THEN score END), 0) / sum(CASE WHEN rk <= {cut} THEN score END), 6) ELSE 0 END"
 
 
-@R.add(
-    f"""WITH {_s_idf(3)}, {_s_pairs(3)}
-    SELECT variantid_1, variantid_2, {', '.join(f'{_s_share(c)} AS share_{c}' for c in CUTS[3])}
-    FROM p LEFT JOIN t ON t.pid = p.pid GROUP BY p.pid, variantid_1, variantid_2, same"""
-)
-def weighted_attr_match(spark, d):
-    """Weight of agreeing keys among the category's first 10 to 100, at level 3."""
-    df = with_top(spark, d, 3, max(CUTS[3]))
-    return df.select(*IDS, *[r6(I.weighted_share(F.col("m1"), F.col("m2"), F.col("same"), F.col("top"), c)).alias(f"share_{c}") for c in CUTS[3]])
+def _s_shares(k):
+    return f"SELECT {k} AS level, variantid_1, variantid_2, [{', '.join(map(_s_share, CUTS[k]))}]::DOUBLE[] AS shares FROM p LEFT JOIN t ON t.pid = p.pid GROUP BY p.pid, variantid_1, variantid_2, same"
 
 
+@R.add(_s_levels(_s_shares))
+def weighted_attr_match(spark, d):
+    """Weight of agreeing keys among the category's first keys, at all cuts of all four levels."""
+    one = lambda level, df: df.select(F.lit(level).alias("level"), *IDS, F.array(*[r6(I.weighted_share(F.col("m1"), F.col("m2"), F.col("same"), F.col("top"), c)) for c in CUTS[level]]).alias("shares"))
+    return reduce(lambda x, y: x.unionByName(y), [one(level, df) for level, df in with_top(spark, d)])

@@ -108,9 +108,15 @@ def category_mean_prob(spark, d):
     return predictions(spark, d).groupBy("unique_cat_1").agg(*[r6(F.avg(c)).alias(c) for c in ("p_all", "p_first", "p_second")])
 
 
-@R.add(f"WITH {_S_PRED} SELECT variantid_1, variantid_2, round(greatest(least(0.5 * p_all + 0.5 * (0.7 * p_first + 0.3 * p_second), 1), 0), 6) AS probability FROM p")
+# example factors: a parameter of the operator, keyed by category
+_FACTORS = {"Электроника_Электроника": 1.2, "Одежда_Одежда": 0.9, "Запчасти_Запчасти": 1.5}
+_S_FACTOR = "CASE unique_cat_1 " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _FACTORS.items()) + " ELSE 1 END"
+
+
+@R.add(f"WITH {_S_PRED} SELECT variantid_1, variantid_2, round(greatest(least((0.5 * p_all + 0.5 * (0.7 * p_first + 0.3 * p_second)) * {_S_FACTOR}, 1), 0), 6) AS probability FROM p")
 def blend_postprocess(spark, d):
-    return predictions(spark, d).select(*IDS, r6(B.scaled(B.blend(C("p_all"), C("p_first"), C("p_second")), C("unique_cat_1"), {})).alias("probability"))
+    """Blend of overall and category scores, times the category's factor, clipped."""
+    return predictions(spark, d).select(*IDS, r6(B.scaled(B.blend(C("p_all"), C("p_first"), C("p_second")), C("unique_cat_1"), _FACTORS)).alias("probability"))
 
 
 @R.add(
@@ -123,6 +129,17 @@ def prior_align(spark, d):
     return out.select(*IDS, r6(C("p_first")).alias("p_first"), r6(C("p_second")).alias("p_second"))
 
 
+@R.add(
+    f"""WITH {_S_PRED}, m AS (SELECT unique_cat_1, avg(p_all) AS pi, avg(p_first) AS r1, avg(p_second) AS r2 FROM p GROUP BY 1),
+    a AS (SELECT *, p_first * pi * (1 - r1) / (p_first * pi * (1 - r1) + (1 - p_first) * (1 - pi) * r1) AS a1, p_second * pi * (1 - r2) / (p_second * pi * (1 - r2) + (1 - p_second) * (1 - pi) * r2) AS a2 FROM p JOIN m USING (unique_cat_1))
+    SELECT variantid_1, variantid_2, round(greatest(least(0.5 * p_all + 0.5 * coalesce(0.7 * a1 + 0.3 * a2, p_all), 1), 0), 6) AS probability FROM a"""
+)
+def aligned_blend(spark, d):
+    """The blend of the overall score with category scores that were aligned to its prior."""
+    out = B.align_to_prior(predictions(spark, d), "unique_cat_1", "p_all", ["p_first", "p_second"])
+    return out.select(*IDS, r6(B.scaled(B.blend(C("p_all"), C("p_first"), C("p_second")), C("unique_cat_1"), {})).alias("probability"))
+
+
 # vectors
 
 
@@ -142,10 +159,23 @@ def embedding_pair_cosine(spark, d):
     return vector_pairs(spark, d).select("a", "b", r6(V.cosine(C("ea"), C("eb"))).alias("cosine"))
 
 
-@R.add(f"WITH {_S_VEC} SELECT a, b, len(ea) + len(eb) AS dims, round(list_sum(list_transform(list_concat(ea, eb), lambda x: x::DOUBLE)), 4) AS total FROM v")
+_S_DOUBLES = "list_transform({0}, lambda x: x::DOUBLE)"
+
+
+@R.add(f"WITH {_S_VEC} SELECT a, b, list_concat(ea, eb) AS joined FROM v")
 def embedding_concat(spark, d):
-    both = F.concat("ea", "eb")
-    return vector_pairs(spark, d).select("a", "b", F.size(both).cast("long").alias("dims"), F.round(F.aggregate(both, F.lit(0.0), lambda acc, x: acc + x.cast("double")), 4).alias("total"))
+    """Both embeddings as one vector."""
+    return vector_pairs(spark, d).select("a", "b", F.concat("ea", "eb").alias("joined"))
+
+
+@R.add(
+    "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM e)"
+    " SELECT vec_id, list_transform(e, lambda x: round(x / n, 6)) AS unit, round((list_sum(list_transform(e, lambda x: greatest(x, 1e-6) ** 3)) / len(e)) ** (1.0::DOUBLE / 3), 6) AS gem FROM n"
+)
+def embedding_pooling(spark, d):
+    """Embeddings of length one, and their generalised mean of power three."""
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.transform(V.normalized(C("embedding")), lambda x: F.round(x, 6)).alias("unit"), r6(V.power_mean(C("embedding"))).alias("gem"))
 
 
 @R.add("SELECT variantid AS filename FROM documents WHERE variantid IS NOT NULL AND variantid NOT IN (SELECT variantid_1 FROM test_df) GROUP BY 1")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pairloom.plans import attributes, core, features, flagship as top, models, scans, table, texts
+from pairloom.plans import attributes, core, features, flagship as top, models, reshape, scans, table, texts
 
 
 def _parts():
     yield core.QUERIES, core.SQL
-    for module in (top, scans, texts, attributes, features, models, table):
+    for module in (top, scans, reshape, texts, attributes, features, models, table):
         yield module.R.queries, module.R.sql
 
 
