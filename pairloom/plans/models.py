@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import text as T
 from pairloom.functions import vectors as V
 from pairloom.operators import blending as B
+from pairloom.operators.char_lm import gram_counts, perplexity
 from pairloom.operators.evaluation import group_folds, pr_auc as pr_area, pr_points
 from pairloom.operators.graph import neighbours, transitive_pairs as new_pairs
 from pairloom.operators.ranking import global_rank
@@ -249,9 +250,34 @@ def char_ngram_lm(spark, d):
 
 def char_trigrams(df, text):
     """``(gram, n)``; two alphabets and the blank bound the table to 59^3 rows whatever the corpus."""
-    t = F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-zа-я]+"), F.lit(0)), " ")
-    grams = df.select(t.alias("t")).where(F.length("t") >= 3).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substr("t", i, F.lit(3)))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return gram_counts(df, text, 3, 3)
+
+
+_S_LETTERS = "array_to_string(regexp_extract_all(lower({0}), '[a-zа-я]+'), ' ')"
+_S_LM = f"""d AS (SELECT {_S_LETTERS.format('text')} AS t FROM documents),
+    c AS (SELECT gram, count(*) AS n FROM (SELECT substring(t, i, k) AS gram FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM d) x, range(1, 6) r(k) WHERE i + k - 1 <= length(t)) GROUP BY 1)"""
+
+
+@R.add(f"WITH {_S_LM} SELECT gram, n FROM c")
+def char_5gram_counts(spark, d):
+    """Counts of the runs of one to five characters of the corpus."""
+    return gram_counts(table(spark, d, "documents"), "text")
+
+
+@R.add(
+    f"""WITH {_S_LM}, n AS (SELECT sum(n)::DOUBLE AS total FROM c WHERE length(gram) = 1), x AS (SELECT DISTINCT name_1 AS text FROM train_df WHERE name_1 IS NOT NULL),
+    y AS (SELECT text, {_S_LETTERS.format('text')} AS t FROM x), w AS (SELECT text, substring(t, greatest(i - 4, 1), least(i, 5)) AS w FROM (SELECT text, t, unnest(range(1, length(t) + 1)) AS i FROM y)),
+    u AS (SELECT DISTINCT w FROM w), s AS (SELECT w, k, right(w, k) AS gram, left(right(w, k), k - 1) AS ctx FROM u, range(1, 6) r(k) WHERE k <= length(w)),
+    h AS (SELECT w, arg_max(a.n / CASE WHEN k = 1 THEN total ELSE b.n END * 0.4 ** (length(w) - k), k) AS p FROM s JOIN c a USING (gram) LEFT JOIN c b ON b.gram = ctx, n GROUP BY 1),
+    f AS (SELECT text, count(*) AS n_chars, exp(-avg(ln(coalesce(p, 1 / (total + 1))))) AS p FROM w LEFT JOIN h USING (w), n GROUP BY 1)
+    SELECT x.text, n_chars, round(p, 4) AS perplexity FROM x LEFT JOIN f USING (text)"""
+)
+def char_perplexity(spark, d):
+    """Perplexity of every distinct name under the corpus's character model."""
+    scratch = Scratch(spark, "lm")
+    counts = scratch.save(gram_counts(table(spark, d, "documents"), "text"))
+    out = perplexity(pairs(spark, d), "name_1", counts, scratch)
+    return out.select("text", "n_chars", F.round("perplexity", 4).alias("perplexity"))
 
 
 @R.add()
