@@ -131,3 +131,35 @@ def test_vectors_and_blending(spark):
     assert one(spark, [3.0, 4.0], V.normalized, "array<float>") == pytest.approx([0.6, 0.8])
     r = spark.range(1).select(blend(F.lit(0.4), F.lit(0.6), F.lit(0.2)).alias("b"), aligned(F.lit(0.3), F.lit(0.05), F.lit(0.1)).alias("p")).first()
     assert r["b"] == pytest.approx(0.44) and r["p"] == pytest.approx(0.16875)
+
+
+def test_shared_items_and_trimmed_distance():
+    import random
+
+    from pairloom.functions import edit as E
+
+    assert E.shared_items(list("aab"), list("abbb")) == 2.0 and E.shared_items([], ["a"]) == 0.0
+
+    def plain(a, b):
+        """The distance without leaving out what both begin and end with."""
+        d = {(-1, -1): len(a) + len(b)}
+        last = {}
+        for i in range(len(a) + 1):
+            d[i, -1], d[i, 0] = len(a) + len(b), i
+        for j in range(len(b) + 1):
+            d[-1, j], d[0, j] = len(a) + len(b), j
+        for i in range(1, len(a) + 1):
+            met = 0
+            for j in range(1, len(b) + 1):
+                k, m = last.get(b[j - 1], 0), met
+                same = a[i - 1] == b[j - 1]
+                if same:
+                    met = j
+                d[i, j] = min(d[i - 1, j - 1] + (not same), d[i, j - 1] + 1, d[i - 1, j] + 1, d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1))
+            last[a[i - 1]] = i
+        return d[len(a), len(b)]
+
+    rng = random.Random(5)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        assert E.damerau_levenshtein(a, b) == plain(a, b)
