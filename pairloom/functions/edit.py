@@ -69,14 +69,26 @@ def partial(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
-    n = len(a)
-    best = 0.0
+    n, need, held, both = len(a), Counter(a), Counter(), 0
+    stretches = []
     for i in range(1 - n, len(b)):
-        part = b[max(0, i) : i + n]
-        if part[-1] in a or part[0] in a:
-            best = max(best, ratio(a, part))
-            if best == 1.0:
-                break
+        # what a stretch shares with the text as a multiset bounds their subsequence
+        if i + n <= len(b):
+            c = b[i + n - 1]
+            held[c] += 1
+            both += held[c] <= need[c]
+        if i > 0:
+            c = b[i - 1]
+            both -= held[c] <= need[c]
+            held[c] -= 1
+        lo, hi = max(0, i), min(i + n, len(b))
+        if b[hi - 1] in need or b[lo] in need:
+            stretches.append((2.0 * both / (n + hi - lo), lo, hi))
+    best = 0.0
+    for bound, lo, hi in sorted(stretches, reverse=True):
+        if bound <= best:
+            break
+        best = max(best, ratio(a, b[lo:hi]))
     return best
 
 
@@ -99,17 +111,23 @@ def jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used, mine = [False] * len(b), []
+    # places of each character as bits of one wide integer
+    at: dict[str, int] = {}
+    for j, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << j
+    free, mine = (1 << len(b)) - 1, []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
+        here = at.get(c, 0) & free
+        if here:
+            lo = max(0, i - reach)
+            here = here >> lo & (1 << max(min(len(b), i + reach + 1) - lo, 0)) - 1
+            if here:
+                free ^= (here & -here) << lo
                 mine.append(c)
-                break
     m = len(mine)
     if not m:
         return 0.0
-    theirs = [c for c, u in zip(b, used) if u]
+    theirs = [c for j, c in enumerate(b) if not free >> j & 1]
     moved = sum(x != y for x, y in zip(mine, theirs)) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     if jaro > 0.7:

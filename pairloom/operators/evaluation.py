@@ -38,7 +38,7 @@ def pr_auc(points: DataFrame) -> DataFrame:
     return points.agg(F.sum(step * (F.col("precision") + F.col("precision0")) / 2).alias("pr_auc"), F.sum(step * F.col("precision")).alias("average_precision"))
 
 
-def group_folds(df: DataFrame, group: str, label: str, k: int = 5, stratified: bool = True, exact_groups: int = 100_000) -> DataFrame:
+def group_folds(df: DataFrame, group: str, label: str, k: int = 5, stratified: bool = True) -> DataFrame:
     """``(group, fold)``: groups kept whole over ``k`` folds with like class counts (or like sizes).
 
     Greedy at every size: groups by falling spread of their class counts (or by
@@ -47,7 +47,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5, stratified: b
     are alike to the rule, so the driver places counts with their number of
     groups, and each fold takes its number of them in hash order. N rows of
     labels 0 and 1 have at most (3N)^(2/3) / 2 different counts. Null groups
-    are one group. ``exact_groups`` has no effect any more.
+    are one group.
     """
     scratch = Scratch(df.sparkSession, "folds")
     per = df.groupBy(group).agg(F.sum((F.col(label) == 0).cast("long")).alias("c0"), F.sum((F.col(label) == 1).cast("long")).alias("c1"), F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.skew import salted_pairs
 from pairloom.scratch import Scratch
 
 
@@ -26,7 +27,8 @@ def transitive_pairs(df: DataFrame, a: str, b: str, levels: int = 1) -> DataFram
     known = adj.where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
     reach, out = adj.select(F.col("src").alias("u"), F.col("dst").alias("v")), None
     for _ in range(levels):
-        step = reach.join(adj.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v").where("u <> w").select("u", F.col("w").alias("v")).distinct()
+        # a hub's square is spread over tasks
+        step = salted_pairs(reach, adj.select(F.col("src").alias("v"), F.col("dst").alias("w")), ["v"], F.col("u")).where("u <> w").select("u", F.col("w").alias("v")).distinct()
         new = scratch.save(step.where("u < v").join(known, ["u", "v"], "left_anti"))
         out = new if out is None else out.unionByName(new)
         known = known.unionByName(new)

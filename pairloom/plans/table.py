@@ -115,10 +115,13 @@ def feature_frames(spark, df: DataFrame, brands: DataFrame) -> tuple[DataFrame,
     family("anti", {"anti_words": anti_word_score(C("name_1"), C("name_2"), top)})
 
     bm25: dict = {}
+    tokens: dict = {}
     text = lambda k: F.concat(F.lit("Name: "), F.coalesce(f"name_{k}", F.lit("")), F.lit(", Desc: "), F.coalesce(f"description_{k}", F.lit("")))
     for n, toks in (("name", lambda k: T.words(F.lower(f"name_{k}"))), ("name_desc", lambda k: T.words(F.lower(text(k)))), ("keyval", lambda k: T.split_blank(F.lower(f"concat_keyval_{k}")))):
-        bm25 |= {f"bm25_{n}_left": Q.bm25_single(toks(1), toks(2)), f"bm25_{n}_right": Q.bm25_single(toks(2), toks(1))}
-    family("bm25", bm25)
+        tokens |= {f"q_{n}_{k}": toks(k) for k in (1, 2)}
+        bm25 |= {f"bm25_{n}_left": Q.bm25_single(C(f"q_{n}_1"), C(f"q_{n}_2")), f"bm25_{n}_right": Q.bm25_single(C(f"q_{n}_2"), C(f"q_{n}_1"))}
+    # staged, so that no token list is made again for every token
+    family("bm25", bm25, scratch.save(p.select(*ids, *[c.alias(k) for k, c in tokens.items()])))
 
     by_word = lambda c: F.filter(T.words(F.lower(c)), lambda w: F.length(w) >= 2)
     for c, toks in (("name", by_word), ("description", by_word), ("concat_keyval", lambda c: T.split_blank(F.lower(c)))):

@@ -163,3 +163,22 @@ def test_shared_items_and_trimmed_distance():
     for _ in range(2000):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
         assert E.damerau_levenshtein(a, b) == plain(a, b)
+
+
+def test_partial_against_all_stretches():
+    import random
+
+    from pairloom.functions import edit as E
+
+    def plain(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if not a:
+            return 1.0 if not b else 0.0
+        parts = [b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))]
+        return max([E.ratio(a, p) for p in parts if p[-1] in a or p[0] in a], default=0.0)
+
+    rng = random.Random(6)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcd e") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        assert E.partial(a, b) == plain(a, b)
