@@ -16,6 +16,7 @@ from pairloom.operators.tfidf import distinct_texts, idf_table, tfidf_cosine
 from pairloom.plans.base import IDS, Registry, pairs, r6
 from pairloom.plans.attributes import JS, S_LISTS, attr_lists
 from pairloom.plans.texts import S_BLANK, S_WORDS, _s_digits, _sql, s_clean, s_latin, s_lowered, s_mixed, s_norm, s_squeeze
+from pairloom.scratch import Scratch
 from pairloom.sources.tables import table
 
 R = Registry()
@@ -62,13 +63,14 @@ def _s_variant(v, k):
 
 
 def variants(spark, d, names):
-    """Pairs with the named variants of both sides, in as many partitions as shuffles have.
+    """Pairs with the named variants of both sides, staged.
 
-    The exchange keeps the regular expressions out of what is built on them.
+    The texts are spread over as many partitions as shuffles have, since a row
+    is few bytes but much work; the stage keeps the regular expressions out of
+    what is built on them.
     """
     cols = sorted({f"{v.partition('_')[0]}_{k}" for v in names for k in (1, 2)})
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return pairs(spark, d).select(*IDS, *cols).select(*IDS, *[_variant(v, k).alias(f"{v}_{k}") for v in names for k in (1, 2)]).repartition(n, *IDS)
+    return Scratch(spark, "variants").save(spread(spark, d, *cols).select(*IDS, *[_variant(v, k).alias(f"{v}_{k}") for v in names for k in (1, 2)]))
 
 
 def _s_variants(names):
