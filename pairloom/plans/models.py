@@ -91,6 +91,17 @@ def group_kfold(spark, d):
     return _folds(spark, d, False)
 
 
+@R.add("SELECT DISTINCT group_id, 1 AS stratified, 1 AS plain FROM train_df WHERE is_double IN (0, 1) AND group_id <> -1")
+def kfold_whole(spark, d):
+    """In how many folds each labelled group stands: one, by either rule."""
+    rows = labelled(spark, d).where("group_id <> -1").select("group_id", "unit").distinct()
+    out = None
+    for name, stratified in (("stratified", True), ("plain", False)):
+        n = rows.join(_folds(spark, d, stratified).select("unit", "fold"), "unit").groupBy("group_id").agg(F.count_distinct("fold").cast("int").alias(name))
+        out = n if out is None else out.join(n, "group_id")
+    return out
+
+
 def predictions(spark, d):
     """Three deterministic scores per test pair, from its usable raw scores."""
     squash = lambda c: 1 / (1 + F.exp(-F.coalesce(F.when(~F.isnan(c) & (F.abs(c) < 700), C(c)), F.lit(0.0))))

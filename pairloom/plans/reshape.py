@@ -136,6 +136,21 @@ def embedding_batches(spark, d):
     return staged.select("vec_id", "label", "batch")
 
 
+@R.add(
+    "WITH w AS (SELECT DISTINCT lower(trim(word_0, ' ')) AS w FROM colors WHERE trim(word_0, ' ') <> ''), f AS (SELECT md5(w) AS filename, w, row_number() OVER (ORDER BY w) AS k FROM w)"
+    " SELECT filename, octet_length(encode(w))::INTEGER AS size FROM f WHERE k % 3 <> 0 AND filename > '4'"
+)
+def image_scan(spark, d):
+    """Binary files (one for each colour, every third empty, with others beside them) scanned by name from a place on."""
+    path = f"{Scratch(spark, 'images').root}/files"
+    words = table(spark, d, "colors").select(F.lower(F.trim("word_0")).alias("w")).where("w <> ''").distinct()
+    # a fixed list of a few dozen words
+    ranked = global_rank(words, Scratch(spark, "words"), [F.asc("w")], "k").withColumn("content", F.encode(F.when(C("k") % 3 != 0, C("w")).otherwise(""), "UTF-8"))
+    for ending in ("jpg", "txt"):
+        io.write_files(ranked.withColumn("name", F.concat(F.md5("w"), F.lit(f".{ending}"))), path, "name", "content")
+    return io.read_images(spark, path, "*.jpg", after="4").select("filename", F.length("content").alias("size"))
+
+
 @R.add(f"SELECT variantid_1, variantid_2, {_s_len('name_1')}::INTEGER AS size, abs(n_images_1 - n_images_2)::BIGINT AS images_gap FROM train_df")
 def scored_stream(spark, d):
     """The pair table read as a stream and scored batch by batch, each pair once."""

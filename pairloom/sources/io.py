@@ -53,10 +53,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
 
 
-def read_images(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFrame:
-    """``(filename, content)`` of non-empty files; the listing is filtered before contents are read."""
+def read_images(spark: SparkSession, path: str, glob: str = "*.jpg", after: str | None = None) -> DataFrame:
+    """``(filename, content)`` of non-empty files; the listing is filtered before contents are read.
+
+    ``after`` resumes a scan: only files whose name comes behind it are read.
+    """
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return df.where("length > 0").select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("filename"), "content")
+    df = df.where("length > 0").select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("filename"), "content")
+    return df if after is None else df.where(F.col("filename") > after)
+
+
+def write_files(df: DataFrame, path: str, name: str, content: str) -> None:
+    """Each row's bytes as one file, written one after the other from the driver: for word lists and fixtures alone."""
+    fs = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for r in df.select(name, content).toLocalIterator():
+        p = fs.Path(f"{path}/{r[0]}")
+        out = p.getFileSystem(conf).create(p, True)
+        out.write(bytearray(r[1]))
+        out.close()
 
 
 def write_csv(df: DataFrame, path: str) -> None:
