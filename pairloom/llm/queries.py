@@ -40,6 +40,15 @@ def p3_splits(spark, d):
     return assign_splits(rows, "group_id", "is_double", *IDS, SHARES).select(*IDS, "group_id", "is_double", "split")
 
 
+def p3_whole(spark, d):
+    """In how many splits each labelled group, and each group's ties, stand: one."""
+    splits = p3_splits(spark, d).where("group_id <> -1").select("group_id", "split").distinct()
+    units = p3_found(spark, d)
+    tied = splits.join(units, "group_id", "left").withColumn("unit_id", F.coalesce("unit_id", "group_id"))
+    n = tied.groupBy("unit_id").agg(F.count_distinct("split").cast("int").alias("n_splits"))
+    return tied.select("group_id", "unit_id").distinct().join(n, "unit_id").select("group_id", "n_splits")
+
+
 def p4_found(spark, d):
     pairs = product_pairs(product_groups(table(spark, d, "train_df"), "variantid_1", *PRODUCT))
     return pairs.select(F.col("a").alias("variantid_a"), F.col("b").alias("variantid_b"))
@@ -68,6 +77,16 @@ def p8_pack(spark, d):
     return pack(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p8_whole(spark, d):
+    """What packing left out of each document, and its pieces in containers over capacity: nothing."""
+    capacity = 2048
+    packed = pack(table(spark, d, "documents"), "doc_id", "text", capacity)
+    over = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("load")).where(F.col("load") > capacity).select("container", F.lit(1).alias("over"))
+    last = F.max(F.coalesce(F.col("start_token") + F.col("n_tokens"), F.lit(0)))
+    per = packed.join(over, "container", "left").groupBy(F.col("id").alias("doc_id"))
+    return per.agg((last - F.sum(F.coalesce("n_tokens", F.lit(0)))).cast("long").alias("n_missing"), F.count("over").alias("n_over"))
+
+
 def p9_found(spark, d):
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -81,7 +100,7 @@ def p10_clean(spark, d):
     return without_residue(table(spark, d, "documents")).select("doc_id", "lang", "source", "text")
 
 
-_ALL = (p1_found, p1_weights, p3_found, p3_splits, p4_found, p4_products, p5_found, p6_found, p6_ranking, p8_pack, p9_found, p10_found, p10_clean)
+_ALL = (p1_found, p1_weights, p3_found, p3_splits, p3_whole, p4_found, p4_products, p5_found, p6_found, p6_ranking, p8_pack, p8_whole, p9_found, p10_found, p10_clean)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _TERMS = """
@@ -120,6 +139,8 @@ SQL = {
         ), e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM s x JOIN s y ON x.v = y.v AND x.g <> y.g),
         r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT a AS group_id, min(b) AS unit_id FROM r GROUP BY 1""",
+    "p3_whole": "SELECT DISTINCT group_id, 1 AS n_splits FROM train_df WHERE is_double IN (0, 1) AND group_id <> -1",
+    "p8_whole": "SELECT doc_id, 0 AS n_missing, 0 AS n_over FROM documents WHERE text IS NOT NULL",
     "p6_ranking": f"WITH {_FUSED} SELECT a AS variantid_a, b AS variantid_b, n_usable, round(fused, 6) AS fused FROM f",
     "p6_found": f"WITH {_FUSED} SELECT a AS variantid_a, b AS variantid_b FROM f QUALIFY row_number() OVER (ORDER BY fused DESC, a, b) <= (SELECT count(*) FROM p) // 50",
 }
