@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pairloom.functions import attrs as A
@@ -10,7 +12,7 @@ from pairloom.functions import numbers as N
 from pairloom.functions import retrieval as Q
 from pairloom.functions import sets as S
 from pairloom.functions import text as T
-from pairloom.functions.units import find_units
+from pairloom.functions.units import UNITS, find_units
 from pairloom.operators.antiwords import anti_word_score, anti_words
 from pairloom.operators.tfidf import distinct_texts, idf_table, tfidf_cosine
 from pairloom.plans.base import IDS, Registry, pairs, r6
@@ -460,10 +462,22 @@ def extract_dimensions(spark, d):
     return pairs(spark, d).select(*IDS, *[F.array_join(F.filter(find_units(C(t)), lambda m: m.rlike("^[0-9]+x[0-9x]+$")), " ").alias(f"dims_{t}") for t in _LEX_TEXTS])
 
 
-@R.add()
+def _s_units(t):
+    """``find_units`` in SQL: a unit's border takes the sign behind it along, since there is no look-around."""
+    c, made = f"coalesce({t}, '')", []
+    ends = {True: "(?:[^\\p{L}\\p{N}_]|$)", False: "[\\p{L}\\p{N}_]"}
+    for is_word, behind in ends.items():
+        own = sorted((u for u in UNITS if (u[-1].isalnum() or u[-1] == "_") == is_word), key=lambda u: (-len(u), u))
+        p = f"(?i)([0-9]+(?:[.,][0-9]+)?)\\s?({'|'.join(re.escape(u) for u in own)}){behind}".replace("\\ ", " ")
+        made.append(f"list_transform(list_zip(regexp_extract_all({c}, '{p}', 1), regexp_extract_all({c}, '{p}', 2)), lambda z: z[1] || ' ' || z[2])")
+    dims = f"list_transform(regexp_extract_all({c}, '[0-9]+\\s*[xх*]\\s*[0-9]+(?:\\s*[xх*]\\s*[0-9]+)?'), lambda m: regexp_replace(m, '\\s*[xх*]\\s*', 'x', 'g'))"
+    return f"list_sort(list_distinct(list_concat({made[0]}, {made[1]}, {dims}))) AS units_{t}"
+
+
+@R.add(_sql(", ".join(map(_s_units, _LEX_TEXTS))))
 def extract_units(spark, d):
     """Numbers with units and dimensions of names and descriptions."""
-    return pairs(spark, d).select(*IDS, *[find_units(C(f"{n}_{k}")).alias(f"units_{n}_{k}") for n in ("name", "description") for k in (1, 2)])
+    return pairs(spark, d).select(*IDS, *[find_units(C(t)).alias(f"units_{t}") for t in _LEX_TEXTS])
 
 
 _S_RUNS = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z]+'))"
