@@ -385,13 +385,14 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, codes, found = (c.to_pylist() for c in b.columns)
-            out = [(k, v) for k, n, t in zip(keys, codes, found) if (v := verdict(t, n))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string())], ["key", "said"])
-
-    bad = scratch.save(templates(rows).select("key", "codes", "template").mapInArrow(judge, "key long, said string"))
-    # the verdicts are few, so that adaptive execution broadcasts them by their size
-    by_template = rows.where(F.col("kind") == LEAF_OF_DOC).select("doc_id", "key").join(bad, "key").select("doc_id", "said")
+            out = [(k, v, m) for k, m, n, t in zip(*(c.to_pylist() for c in b.columns)) if (v := verdict(t, n))]
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()))], ["key", "said", "n"])
+
+    bad = scratch.save(templates(rows).select("key", "n_messages", "codes", "template").mapInArrow(judge, "key long, said string, n long"))
+    # one template may stand in very many documents; where the verdicts are few, adaptive execution broadcasts them by their size
+    noted = rows.where(F.col("kind") == LEAF_OF_DOC).select("doc_id", "key")
+    by_template = salted_join(noted, bad, ["key"], "n", bad.agg(F.sum("n")).scalar(), F.col("doc_id")).select("doc_id", "said")
     own = rows.where(F.col("kind") == OWN).select("doc_id", F.col("word").alias("said"))
     found = own.unionByName(by_template).unionByName(_pieces(rows, scratch).select("doc_id", F.lit("filler").alias("said")))
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("said")).alias("kinds"))
