@@ -68,3 +68,24 @@ def weighted_share(m1, m2, same_category, top, cut: int):
     total = F.aggregate(part, F.lit(0.0), lambda acc, e: acc + e["score"])
     hit = F.aggregate(part, F.lit(0.0), lambda acc, e: acc + F.when(F.coalesce(F.element_at(m1, e["key"]) == F.element_at(m2, e["key"]), F.lit(False)), e["score"]).otherwise(0.0))
     return F.when(F.coalesce(same_category, F.lit(False)) & (total > 0), hit / total).otherwise(0.0)
+
+
+def equal_keys(m1, m2):
+    """Keys that both maps hold with equal values; null for a null map."""
+    return F.filter(F.map_keys(m1), lambda k: F.element_at(m1, k) == F.element_at(m2, k))
+
+
+def cut_weights(top, cuts):
+    """Weight of the first ranked keys, for each of ``cuts``."""
+    return F.array(*[F.aggregate(F.slice(top, 1, n), F.lit(0.0), lambda acc, e: acc + e["score"]) for n in cuts])
+
+
+def ranked_hits(equal, same_category, top):
+    """The ranked keys among ``equal``, in their order; none across categories."""
+    return F.when(same_category, F.filter(top, lambda e: F.array_contains(equal, e["key"])))
+
+
+def hit_share(hits, weights, place: int, cut: int):
+    """``weighted_share`` from ``ranked_hits`` and the category's ``cut_weights``, of which it takes the one at ``place``."""
+    hit = F.aggregate(F.filter(hits, lambda e: e["rk"] <= cut), F.lit(0.0), lambda acc, e: acc + e["score"])
+    return F.coalesce(F.when(F.get(weights, F.lit(place)) > 0, hit / F.get(weights, F.lit(place))), F.lit(0.0))

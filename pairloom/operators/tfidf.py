@@ -21,17 +21,15 @@ def distinct_texts(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*cols)).alias("text")).where("text IS NOT NULL").distinct()
 
 
-def tfidf_cosine(df: DataFrame, a: str, b: str, tokens) -> DataFrame:
-    """``(a, b, cosine)`` of every distinct pair of texts; 0 where a side has no term.
+def text_id(c: Column | str) -> Column:
+    """Two hashes of a text, so that whole texts are not carried through joins; null for null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("h"), F.md5(c).alias("m")))
 
-    Vectors belong to distinct texts, not to rows: each text's norm is found
-    once, and a text that many pairs share is tokenised once. Only shared
-    terms of a pair are multiplied.
-    """
-    scratch = Scratch(df.sparkSession, "tfidf")
-    # a text is known by two hashes, so that whole texts are not carried through the joins
-    tid = lambda c: F.struct(F.xxhash64(c).alias("h"), F.md5(c).alias("m"))
-    texts = distinct_texts(df, [a, b]).select("text", tid("text").alias("tid"))
+
+def text_vectors(texts: DataFrame, tokens, scratch: Scratch) -> DataFrame:
+    """``(tid, v, norm)`` of distinct texts with a term: TF-IDF weights by term, and their length."""
+    texts = texts.select("text", text_id("text").alias("tid"))
     tf = scratch.save(texts.select("tid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("tid", "term").agg(F.count(F.lit(1)).alias("tf")))
     n = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -40,10 +38,27 @@ def tfidf_cosine(df: DataFrame, a: str, b: str, tokens) -> DataFrame:
     w = salted_join(tf, idf, ["term"], "df", total, F.col("tid")).select("tid", "term", (F.col("tf") * F.col("idf")).alias("w"))
     # a text's terms as one row: as many entries as it has distinct words
     vec = scratch.save(w.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
-    pairs = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct().withColumns({"ta": tid(a), "tb": tid(b)})
+    scratch.drop(tf)
+    return vec
+
+
+def vector_cosine(va: Column, na: Column, vb: Column, nb: Column) -> Column:
+    """Cosine of two ``text_vectors``, only shared terms multiplied; 0 where a side has none."""
+    dot = F.aggregate(F.array_intersect(F.map_keys(va), F.map_keys(vb)), F.lit(0.0), lambda acc, t: acc + F.element_at(va, t) * F.element_at(vb, t))
+    return F.coalesce(F.try_divide(dot, na * nb), F.lit(0.0))
+
+
+def tfidf_cosine(df: DataFrame, a: str, b: str, tokens) -> DataFrame:
+    """``(a, b, cosine)`` of every distinct pair of texts; 0 where a side has no term.
+
+    Vectors belong to distinct texts, not to rows: each text's norm is found
+    once, and a text that many pairs share is tokenised once. Only shared
+    terms of a pair are multiplied.
+    """
+    vec = text_vectors(distinct_texts(df, [a, b]), tokens, Scratch(df.sparkSession, "tfidf"))
+    pairs = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct().withColumns({"ta": text_id(a), "tb": text_id(b)})
     va, vb = (vec.select(F.col("tid").alias(t), F.col("v").alias(f"v{t}"), F.col("norm").alias(f"n{t}")) for t in ("ta", "tb"))
     # a text may stand in very many pairs
     both = salted_lookup(pairs, va, ["ta"], F.col("tb"), "left")
     both = salted_lookup(both, vb, ["tb"], F.col("ta"), "left")
-    dot = F.aggregate(F.array_intersect(F.map_keys("vta"), F.map_keys("vtb")), F.lit(0.0), lambda acc, t: acc + F.element_at("vta", t) * F.element_at("vtb", t))
-    return both.select(a, b, F.coalesce(F.try_divide(dot, F.col("nta") * F.col("ntb")), F.lit(0.0)).alias("cosine"))
+    return both.select(a, b, vector_cosine(F.col("vta"), F.col("nta"), F.col("vtb"), F.col("ntb")).alias("cosine"))
